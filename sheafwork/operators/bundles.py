@@ -8,6 +8,7 @@ from sheafwork.functions import paths, text as texts
 from sheafwork.operators.outlines import outline_dispatch
 from sheafwork.operators.scale import running_totals
 from sheafwork.operators.selection import attach_content
+from sheafwork.session import measured, with_size
 
 #: A part of a bundle is closed by the block that reaches this size.
 PART_BYTES = 32 << 20
@@ -59,10 +60,10 @@ def number_files(files: DataFrame, sizes: DataFrame) -> DataFrame:
     """Chosen files with their sizes, their place in the bundle and the bytes before them."""
     sized = attach_content(files, sizes)
     order = [F.col("input_ord"), paths.path_order(F.col("path"))]
-    totals = {"seq": F.lit(1), "start_byte": F.col("block_bytes")}
-    return running_totals(sized, ["request_id"], order, totals).withColumn(
-        "seq", (F.col("seq") + 1).cast("int")
-    )
+    totals = {"before": F.lit(1), "start_byte": F.col("block_bytes")}
+    placed = running_totals(sized, ["request_id"], order, totals)
+    numbered = placed.withColumn("seq", (F.col("before") + 1).cast("int")).drop("before")
+    return with_size(numbered, measured(placed))
 
 
 def manifest(numbered: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ def assemble_bundle(
     placed = numbered.select("request_id", "seq", "path", part_no.alias("part_no"))
     markdown = F.expr("listagg(block, '') WITHIN GROUP (ORDER BY seq)")
     return (
-        attach_content(placed, blocks)
+        attach_content(placed, blocks, bound=numbered)
         .groupBy("request_id", "part_no")
         .agg(F.count("*").alias("n_files"), markdown.alias("markdown"))
     )

@@ -34,9 +34,9 @@ class Resolution:
 
     def conflicts(self) -> DataFrame:
         """``input, tier, path, canonical_key`` of every match of the ambiguous inputs."""
+        found = matching.candidates(self.patterns, self.catalog, matching.SUBSTRING)
         several = self.outcomes.filter(F.col("status") == AMBIGUOUS).select("input")
-        patterns = balanced_join(self.patterns, several, ["input"], how="left_semi")
-        return matching.candidates(patterns, self.catalog)
+        return balanced_join(found, several, ["input"], how="left_semi", bound=self.outcomes)
 
     def matches(self) -> DataFrame:
         """Every match of every request, those of ambiguous inputs included."""
@@ -51,22 +51,21 @@ class Resolution:
 
 def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) -> Resolution:
     """Resolve each distinct input once; only those a tier leaves open go on to the next."""
+    requests = materialize(requests, "requests")
     inputs = materialize(matching.distinct_inputs(requests), "inputs")
 
     direct = matching.match_direct(inputs, catalog)
     below = matching.match_directory(inputs, catalog)
     # A path that is a file is not looked at as a directory, even if others lie below it.
-    below = balanced_join(below, direct.select("input").distinct(), ["input"], how="left_anti")
+    files = direct.select("input").distinct()
+    below = balanced_join(below, files, ["input"], how="left_anti", bound=inputs)
     exact = materialize(direct.unionByName(below), "exact-matches")
 
     left = matching.unmatched_inputs(inputs, exact)
     patterns = matching.glob_patterns(left).unionByName(matching.substring_patterns(left))
     patterns = matching.rarest_pieces(patterns, catalog)
-    is_glob = F.col("tier") == matching.GLOB
-    globbed = materialize(
-        matching.candidates(patterns.filter(is_glob), catalog), "glob-matches"
-    )
-    partial = matching.candidates(patterns.filter(~is_glob), catalog)
+    globbed = materialize(matching.candidates(patterns, catalog, matching.GLOB), "glob-matches")
+    partial = matching.candidates(patterns, catalog, matching.SUBSTRING)
     # Of a substring's matches only the number is needed, and the match itself if it is the only
     # one, so they are never held as rows.
     counted = materialize(
@@ -79,7 +78,6 @@ def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) ->
     )
     single = counted.filter("n_matches = 1").drop("n_matches")
 
-    files = union_all(exact, globbed, single)
     tallies = (
         exact.unionByName(globbed)
         .groupBy("input", "tier")
@@ -87,6 +85,7 @@ def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) ->
         .unionByName(counted.select("input", "tier", "n_matches"))
     )
     outcomes = materialize(input_outcomes(inputs, tallies, root), "outcomes")
+    files = union_all(exact, globbed, single)
     return Resolution(requests, catalog, outcomes, files, patterns)
 
 
@@ -105,7 +104,7 @@ def input_outcomes(inputs: DataFrame, tallies: DataFrame, root: str = paths.ROOT
         .when(found, SUCCESS)
         .otherwise(open_status)
     )
-    joined = balanced_join(inputs, tallies, ["input"], how="left")
+    joined = balanced_join(inputs, tallies, ["input"], how="left", bound=inputs)
     joined = joined.withColumn("n_matches", F.coalesce("n_matches", F.lit(0))).withColumn(
         "error", F.when(glob & (F.col("n_matches") == 0), globs.glob_error(value))
     )

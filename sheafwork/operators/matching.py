@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import globs, paths
 from sheafwork.operators.scale import balanced_join
-from sheafwork.session import materialize
+from sheafwork.session import materialize, measured
 
 FILE, DIRECTORY, GLOB, SUBSTRING = "file", "directory", "glob", "substring"
 MATCH_COLUMNS = ["input", "tier", "path", "canonical_key"]
@@ -29,7 +29,7 @@ def match_direct(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
         F.col("path").isNotNull() & ~paths.names_directory(F.col("input"))
     )
     files = catalog.select("path", "canonical_key")
-    hits = balanced_join(wanted, files, ["path"], small="left", split="left")
+    hits = balanced_join(wanted, files, ["path"], small="left", bound=inputs, split="left")
     return hits.withColumn("tier", F.lit(FILE)).select(*MATCH_COLUMNS)
 
 
@@ -44,7 +44,7 @@ def match_directory(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     listed = catalog.select(
         F.explode(paths.ancestors(F.col("path"))).alias("directory"), "path", "canonical_key"
     )
-    hits = balanced_join(listed, wanted, ["directory"], split="left")
+    hits = balanced_join(listed, wanted, ["directory"], bound=inputs, split="left")
     return hits.withColumn("tier", F.lit(DIRECTORY)).select(*MATCH_COLUMNS)
 
 
@@ -60,7 +60,8 @@ def match_substring(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def unmatched_inputs(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """Requests' inputs without any row in ``matches``."""
-    return balanced_join(requests, matches.select("input").distinct(), ["input"], how="left_anti")
+    matched = matches.select("input").distinct()
+    return balanced_join(requests, matched, ["input"], how="left_anti", bound=requests)
 
 
 # --- patterns -----------------------------------------------------------------------------------
@@ -109,6 +110,8 @@ def _usable_length(literals: Column) -> Column:
 
 def _path_pieces(catalog: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
     framed = F.concat(F.lit("/"), F.col("path"), F.lit("/"))
+    if not lengths:  # No pattern to look for: do not read the paths.
+        catalog, lengths = catalog.filter(F.lit(False)), PIECE_LENGTHS
     pieces = F.concat(*[_pieces(framed, F.lit(n)) for n in lengths])
     return catalog.select(*columns, F.explode(F.array_distinct(pieces)).alias("piece"))
 
@@ -131,12 +134,12 @@ def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
             )
         ).alias("piece"),
     )
-    pieces = materialize(pieces, "pattern-pieces")
+    pieces = materialize(pieces, "pattern-pieces", **_length_metrics())
     wanted = pieces.select("piece").distinct()
     held = _path_pieces(catalog, _lengths_in_use(pieces))
-    found = balanced_join(held, wanted, ["piece"], how="left_semi")
+    found = balanced_join(held, wanted, ["piece"], how="left_semi", bound=pieces)
     counts = found.groupBy("piece").agg(F.count("*").alias("n_paths"))
-    counted = balanced_join(pieces, materialize(counts, "piece-counts"), ["piece"], how="left")
+    counted = balanced_join(pieces, counts, ["piece"], how="left", bound=pieces)
     rarest = (
         counted.groupBy("input", "tier", "regex", "piece_length")
         .agg(F.min(F.struct(F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "piece")).alias("rarest"))
@@ -144,19 +147,25 @@ def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
         .filter("n_paths > 0")
         .drop("n_paths")
     )
-    return materialize(rarest, "rarest-pieces")
+    return materialize(rarest, "rarest-pieces", **_length_metrics())
 
 
-def _lengths_in_use(pieces: DataFrame) -> list[int]:
-    """At most ``len(PIECE_LENGTHS)`` values; where there are no patterns, any one will do."""
-    found = [row[0] for row in pieces.select("piece_length").distinct().collect()]
-    return sorted(found) or [max(PIECE_LENGTHS)]
+def _length_metrics() -> dict[str, Column]:
+    return {f"length_{n}": F.count_if(F.col("piece_length") == n) for n in PIECE_LENGTHS}
 
 
-def candidates(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
+def _lengths_in_use(patterns: DataFrame) -> list[int]:
+    metrics = measured(patterns).metrics
+    return [n for n in PIECE_LENGTHS if metrics[f"length_{n}"]]
+
+
+def candidates(patterns: DataFrame, catalog: DataFrame, tier: str | None = None) -> DataFrame:
     """The matches of ``rarest_pieces``: paths that hold the piece and pass the full test."""
     held = _path_pieces(catalog, _lengths_in_use(patterns), "path", "canonical_key")
-    pairs = balanced_join(held, patterns.select("input", "tier", "regex", "piece"), ["piece"])
+    chosen = patterns if tier is None else patterns.filter(F.col("tier") == tier)
+    pairs = balanced_join(
+        held, chosen.select("input", "tier", "regex", "piece"), ["piece"], bound=patterns
+    )
     path = F.col("path")
     selected = F.when(F.col("regex").isNull(), F.contains(path, F.col("input"))).otherwise(
         F.rlike(path, F.col("regex"))

@@ -96,13 +96,16 @@ def tokenize(df: DataFrame, doc_id: str, text: str, kind: Column) -> DataFrame:
 
     A document without any token keeps one row, with a NULL token.
     """
-    tokens = F.when(kind == MARKUP, F.regexp_extract_all(text, F.lit(MARKUP_TOKEN), F.lit(0)))
-    for name, pattern in BRACKET_TOKEN.items():
-        tokens = tokens.when(kind == name, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    placed = df.select(F.col(doc_id).alias("doc_id"), kind.alias("kind"), F.col(text))
+    placed = df.select(F.col(doc_id).alias("doc_id"), kind.alias("kind"), F.col(text).alias("text"))
     placed = placed.repartition("doc_id")
-    tokens = F.posexplode_outer(tokens).alias("ord", "tok")
-    rows = placed.select("doc_id", "kind", tokens)
+    patterns = {MARKUP: MARKUP_TOKEN, **BRACKET_TOKEN}
+    tokens = F.coalesce(
+        *[
+            F.when(F.col("kind") == name, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+            for name, pattern in patterns.items()
+        ]
+    )
+    rows = placed.select("doc_id", "kind", F.posexplode_outer(tokens).alias("ord", "tok"))
     delta = F.when(F.col("kind") == MARKUP, markup_delta(F.col("tok"))).otherwise(
         bracket_delta(F.col("tok"))
     )

@@ -36,7 +36,8 @@ def _previews(resolution: Resolution, shown: int) -> DataFrame:
         .select("input", "path", F.row_number().over(first).alias("match_no"))
         .filter(F.col("match_no") <= shown)
     )
-    return balanced_join(top, resolution.outcomes.select("input", "n_matches"), ["input"])
+    n_matches = resolution.outcomes.select("input", "n_matches")
+    return balanced_join(top, n_matches, ["input"], bound=resolution.outcomes)
 
 
 def conflict_preview(resolution: Resolution, shown: int = SHOWN) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sheafwork.session import materialize
+from sheafwork.session import materialize, measured, size_metrics, with_size
 
 #: A side is broadcast only after it was measured to be within these bounds.
 BROADCAST_ROWS = 500_000
@@ -19,18 +19,15 @@ HEAVY_ROWS = 1_000_000
 MAX_HEAVY_KEYS = 10_000
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Measure whether ``df`` may be broadcast: its number of rows and its size in bytes."""
-    width = F.lit(0).cast("bigint")
-    for field in df.schema:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-        elif isinstance(field.dataType, T.ArrayType):
-            joined = F.array_join(F.col(field.name).cast("array<string>"), "")
-            width = width + F.coalesce(F.octet_length(joined), F.lit(0))
-        width = width + 8
-    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
+    """Whether ``df`` may be broadcast, by its measured number of rows and bytes.
+
+    ``bound`` is a table that ``df`` cannot outgrow, for instance the one it was filtered from.
+    A frame that was not measured when it was written is measured now.
+    """
+    size = measured(df) or (measured(bound) if bound is not None else None)
+    rows, size_bytes = size[:2] if size else df.agg(*size_metrics(df)).first()
+    return rows <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
 
 
 def _heavy_keys(df: DataFrame, on: list[str], name: str) -> DataFrame:
@@ -59,20 +56,21 @@ def balanced_join(
     on: list[str],
     how: str = "inner",
     small: str = "right",
+    bound: DataFrame | None = None,
     split: str = "both",
 ) -> DataFrame:
     """Equi-join that does not put a heavy key into one task.
 
-    ``small`` names the side to broadcast if it measures small enough (``"none"``: do not
-    look).  Otherwise both sides are shuffled, and keys that are heavy on either side are split:
+    ``small`` names the side to broadcast if it measures small enough (see ``fits_broadcast``,
+    also for ``bound``).  Otherwise both sides are shuffled, and keys that are heavy on either side are split:
     a left row goes to one of ``left_parts`` salts and is repeated for each of ``right_parts``,
     a right row the other way round, so each pair meets exactly once.  Where the right side has
     few rows per key, ``split="left"`` saves counting it.  Semi, anti and left joins must not
     repeat left rows, so they split the left side only.
     """
-    if small == "right" and fits_broadcast(right):
+    if small == "right" and fits_broadcast(right, bound):
         return left.join(F.broadcast(right), on, how)
-    if small == "left" and how == "inner" and fits_broadcast(left):
+    if small == "left" and how == "inner" and fits_broadcast(left, bound):
         columns = left.columns + [c for c in right.columns if c not in on]
         return right.join(F.broadcast(left), on).select(*columns)
 
@@ -136,10 +134,10 @@ def running_totals(
         "_range",
         *[F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)).alias(f"_{n}") for n in names],
     )
-    joined = local.join(offsets, [*group, "_range"])
-    return joined.select(
+    joined = local.join(offsets, [*group, "_range"]).select(
         *df.columns, *[(F.col(f"_{n}") + F.col(f"_{n}_offset")).alias(n) for n in names]
     )
+    return with_size(joined, measured(ranged))
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

@@ -35,17 +35,20 @@ def chosen_files(resolution: Resolution, passed: bool | None = True) -> DataFram
     if passed is not None:
         gate = request_gate(resolution_status(resolution))
         gate = gate.filter(F.col("passed") == passed).select("request_id")
-        requests = balanced_join(requests, gate, ["request_id"], how="left_semi")
-    rows = balanced_join(
-        requests, resolution.files.select("input", "path", "canonical_key"), ["input"], small="left"
-    )
+        requests = balanced_join(
+            requests, gate, ["request_id"], how="left_semi", bound=resolution.requests
+        )
+    files = resolution.files.select("input", "path", "canonical_key")
+    rows = balanced_join(requests, files, ["input"], small="left", bound=resolution.requests)
     return keep_first(rows)
 
 
-def attach_content(files: DataFrame, rendered: DataFrame) -> DataFrame:
+def attach_content(
+    files: DataFrame, rendered: DataFrame, bound: DataFrame | None = None
+) -> DataFrame:
     """Columns of ``rendered`` (one row per path) for the chosen files.
 
     The chosen files are broadcast if they measure small, so that content is not shuffled;
     otherwise both sides are shuffled by path, with paths that very many requests chose split.
     """
-    return balanced_join(files, rendered, ["path"], small="left", split="left")
+    return balanced_join(files, rendered, ["path"], small="left", bound=bound, split="left")

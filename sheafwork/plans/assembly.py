@@ -54,5 +54,5 @@ def assemble(
     bodies = bundles.content_or_error(bundles.only_chosen(catalog, chosen), max_depth)
     if max_depth is not None:
         bodies = materialize(bodies, "outlines")
-    files = materialize(bundles.number_files(chosen, bundles.measure(bodies)), "bundle-files")
+    files = bundles.number_files(chosen, bundles.measure(bodies))
     return Assembly(resolution, files, bodies, max_depth)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 _OWN_FOLDER = "sheafwork.intermediate.dir"
 
@@ -44,13 +45,55 @@ def new_location(spark: SparkSession, label: str) -> str:
     return f"{intermediate_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+class Size(NamedTuple):
+    """What was measured of a table while it was written."""
+
+    rows: int
+    bytes: int
+    metrics: dict
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row: 8 bytes per column, and the length of strings, also those in arrays."""
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            joined = F.array_join(F.col(field.name).cast("array<string>"), "")
+            size = size + F.coalesce(F.octet_length(joined), F.lit(0))
+    return size
+
+
+def size_metrics(df: DataFrame) -> list[Column]:
+    return [
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("bytes"),
+    ]
+
+
+def materialize(df: DataFrame, label: str, **metrics: Column) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    Used where several steps share a result: the lineage is cut, a lost executor costs nothing
-    but a re-read, and the planner sees real file sizes.
+    Used where several steps share a result: the lineage is cut and a lost executor costs nothing
+    but a re-read.  The write also measures the table (``measured``), with ``metrics`` as further
+    aggregates, so that to decide on a broadcast takes no job of its own.
     """
     spark = df.sparkSession
     location = new_location(spark, label)
-    df.write.parquet(location)
-    return spark.read.schema(df.schema).parquet(location)
+    observation = Observation(f"{label}-{uuid.uuid4().hex}")
+    extra = [value.alias(name) for name, value in metrics.items()]
+    df.observe(observation, *size_metrics(df), *extra).write.parquet(location)
+    seen = dict(observation.get)
+    written = spark.read.schema(df.schema).parquet(location)
+    return with_size(written, Size(seen.pop("rows"), seen.pop("bytes"), seen))
+
+
+def with_size(df: DataFrame, size: Size | None) -> DataFrame:
+    df._sheafwork_size = size
+    return df
+
+
+def measured(df: DataFrame) -> Size | None:
+    """The size of a table from ``materialize``; None for any other frame."""
+    return df.__dict__.get("_sheafwork_size")
