@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from sheafwork.functions.binding import bind
+
 ROOT = ""
 
 
@@ -59,10 +61,12 @@ def path_order(path: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """All directories above ``path``, the root (empty string) first."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(0), F.size(parts) - 1),
-        lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+    return bind(
+        F.split(path, "/"),
+        lambda parts: F.transform(
+            F.sequence(F.lit(0), F.size(parts) - 1),
+            lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+        ),
     )
 
 

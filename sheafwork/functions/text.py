@@ -40,8 +40,13 @@ def byte_count(text: Column) -> Column:
 
 
 def trim_end(text: Column) -> Column:
-    """Strip trailing Unicode white space."""
-    return F.rtrim(text, F.lit(WHITE_SPACE))
+    """Strip trailing Unicode white space.
+
+    Most texts end in none, which the last character tells without a look at the rest.
+    """
+    last = F.right(text, F.lit(1))
+    ends_in_space = F.contains(F.lit(WHITE_SPACE), last) & (last != "")
+    return F.when(ends_in_space, F.rtrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def trim_both(text: Column) -> Column:

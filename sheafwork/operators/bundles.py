@@ -8,7 +8,7 @@ from sheafwork.functions import paths, text as texts
 from sheafwork.operators.outlines import outline_dispatch
 from sheafwork.operators.scale import running_totals
 from sheafwork.operators.selection import attach_content
-from sheafwork.session import measured, with_size
+from sheafwork.session import materialize, measured, with_size
 
 #: A part of a bundle is closed by the block that reaches this size.
 PART_BYTES = 32 << 20
@@ -57,8 +57,12 @@ def only_chosen(catalog: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def number_files(files: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Chosen files with their sizes, their place in the bundle and the bytes before them."""
-    sized = attach_content(files, sizes)
+    """Chosen files with their sizes, their place in the bundle and the bytes before them.
+
+    The sizes are written first: to cut rows into ranges Spark samples them, and that must not
+    read the texts again.
+    """
+    sized = materialize(attach_content(files, sizes), "sized-files")
     order = [F.col("input_ord"), paths.path_order(F.col("path"))]
     totals = {"before": F.lit(1), "start_byte": F.col("block_bytes")}
     placed = running_totals(sized, ["request_id"], order, totals)
@@ -103,7 +107,7 @@ def assemble_bundle(
     A bundle may be larger than a task can hold, so it is cut between blocks into parts of about
     ``part_bytes``; the parts one after the other are the bundle.
     """
-    part_no = F.floor(F.col("start_byte") / F.lit(part_bytes)).cast("int")
+    part_no = F.expr(f"CAST(start_byte DIV {int(part_bytes)} AS INT)")
     placed = numbered.select("request_id", "seq", "path", part_no.alias("part_no"))
     markdown = F.expr("listagg(block, '') WITHIN GROUP (ORDER BY seq)")
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sheafwork.functions import globs, paths
 from sheafwork.operators import matching
 from sheafwork.operators.scale import balanced_join, union_all
-from sheafwork.session import materialize
+from sheafwork.session import materialize, measured
 
 SUCCESS = "Success"
 AMBIGUOUS = "Ambiguous"
@@ -44,10 +44,17 @@ class Resolution:
 
     def per_request(self, rows: DataFrame) -> DataFrame:
         """Rows per input, given to each request that has the input."""
-        return balanced_join(self.requests, rows, ["input"], small="left").select(
+        return self.fan_out(self.requests, rows).select(
             *self.requests.columns, *[c for c in rows.columns if c != "input"]
         )
 
+    def fan_out(self, requests: DataFrame, rows: DataFrame) -> DataFrame:
+        """Join some of the requests with rows per input, no more per input than its matches."""
+        at_most = self.outcomes.select("input", F.col("n_matches").alias("rows"))
+        return balanced_join(
+            requests, rows, ["input"], small="left", bound=self.requests, right_rows=at_most
+        )
+
 
 def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) -> Resolution:
     """Resolve each distinct input once; only those a tier leaves open go on to the next."""
@@ -64,31 +71,25 @@ def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) ->
     left = matching.unmatched_inputs(inputs, exact)
     patterns = matching.glob_patterns(left).unionByName(matching.substring_patterns(left))
     patterns = matching.rarest_pieces(patterns, catalog)
-    globbed = materialize(matching.candidates(patterns, catalog, matching.GLOB), "glob-matches")
-    partial = matching.candidates(patterns, catalog, matching.SUBSTRING)
-    # Of a substring's matches only the number is needed, and the match itself if it is the only
-    # one, so they are never held as rows.
-    counted = materialize(
-        partial.groupBy("input", "tier").agg(
-            F.count("*").alias("n_matches"),
-            F.min("path").alias("path"),
-            F.min("canonical_key").alias("canonical_key"),
-        ),
-        "substring-counts",
-    )
-    single = counted.filter("n_matches = 1").drop("n_matches")
-
-    tallies = (
-        exact.unionByName(globbed)
-        .groupBy("input", "tier")
-        .agg(F.count("*").alias("n_matches"))
-        .unionByName(counted.select("input", "tier", "n_matches"))
-    )
+    files, tallies = exact, _tally(exact)
+    if measured(patterns).rows:
+        globbed = materialize(matching.candidates(patterns, catalog, matching.GLOB), "glob-matches")
+        # Of a substring's matches only the number is needed, and the match itself if it is the
+        # only one, so they are never held as rows.
+        partial = matching.candidates(patterns, catalog, matching.SUBSTRING)
+        only = [F.min(name).alias(name) for name in ("path", "canonical_key")]
+        counted = materialize(_tally(partial, *only), "substring-counts")
+        single = counted.filter("n_matches = 1").drop("n_matches")
+        files = union_all(exact, globbed, single)
+        tallies = union_all(tallies, _tally(globbed), counted.drop("path", "canonical_key"))
     outcomes = materialize(input_outcomes(inputs, tallies, root), "outcomes")
-    files = union_all(exact, globbed, single)
     return Resolution(requests, catalog, outcomes, files, patterns)
 
 
+def _tally(matches: DataFrame, *more: Column) -> DataFrame:
+    return matches.groupBy("input", "tier").agg(F.count("*").alias("n_matches"), *more)
+
+
 def input_outcomes(inputs: DataFrame, tallies: DataFrame, root: str = paths.ROOT) -> DataFrame:
     """One status per input, from the number of matches and the tier they came from."""
     value = F.col("input")
@@ -120,7 +121,7 @@ def input_outcomes(inputs: DataFrame, tallies: DataFrame, root: str = paths.ROOT
 
 def resolution_status(resolution: Resolution) -> DataFrame:
     """One row per input of each request, repeated inputs included."""
-    joined = balanced_join(resolution.requests, resolution.outcomes, ["input"])
+    joined = balanced_join(resolution.requests, resolution.outcomes, ["input"], split="left")
     return joined.select(
         "request_id", "input_ord", "input", "status", "tier", "n_matches", "error", "path_tried"
     )

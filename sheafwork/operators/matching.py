@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import globs, paths
+from sheafwork.functions.binding import bind
 from sheafwork.operators.scale import balanced_join
 from sheafwork.session import materialize, measured
 
@@ -109,10 +110,10 @@ def _usable_length(literals: Column) -> Column:
 
 
 def _path_pieces(catalog: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
-    framed = F.concat(F.lit("/"), F.col("path"), F.lit("/"))
+    path = F.concat(F.lit("/"), F.col("path"), F.lit("/"))
     if not lengths:  # No pattern to look for: do not read the paths.
         catalog, lengths = catalog.filter(F.lit(False)), PIECE_LENGTHS
-    pieces = F.concat(*[_pieces(framed, F.lit(n)) for n in lengths])
+    pieces = bind(path, lambda framed: F.concat(*[_pieces(framed, F.lit(n)) for n in lengths]))
     return catalog.select(*columns, F.explode(F.array_distinct(pieces)).alias("piece"))
 
 
@@ -135,6 +136,8 @@ def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
         ).alias("piece"),
     )
     pieces = materialize(pieces, "pattern-pieces", **_length_metrics())
+    if not measured(pieces).rows:
+        return pieces
     wanted = pieces.select("piece").distinct()
     held = _path_pieces(catalog, _lengths_in_use(pieces))
     found = balanced_join(held, wanted, ["piece"], how="left_semi", bound=pieces)

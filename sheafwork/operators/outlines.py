@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sheafwork.functions import text as texts
+from sheafwork.functions.binding import bind
 from sheafwork.operators.scale import union_all
 
 MARKUP, BRACES, SCRIPT, DATA, INDENTED, UNSUPPORTED = (
@@ -185,15 +186,22 @@ def indent_outline(text: Column, max_level: int) -> Column:
 
     A column expression on one row: no running sum is needed here.
     """
-    lines = F.filter(F.split(text, "\n"), lambda line: texts.trim_both(line) != "")
 
-    def width(line: Column) -> Column:
-        return F.length(F.regexp_extract(line, r"\A[ \t]*", 0))
+    def measured_line(line: Column) -> Column:
+        trimmed = texts.trim_both(line).alias("text")
+        return F.struct(trimmed, F.length(F.regexp_extract(line, r"\A[ \t]*", 0)).alias("width"))
 
-    unit = F.array_min(F.filter(F.transform(lines, width), lambda n: n > 0))
-    level = lambda line: F.floor(width(line) / F.coalesce(unit, F.lit(1)))
-    kept = F.transform(F.filter(lines, lambda line: level(line) <= max_level), texts.trim_both)
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.lit(texts.NO_STRUCTURE))
+    def within(lines: Column) -> Column:
+        unit = F.array_min(F.filter(F.transform(lines, lambda line: line.width), lambda n: n > 0))
+        return bind(
+            F.coalesce(unit, F.lit(1)),
+            lambda unit: F.filter(lines, lambda line: F.floor(line.width / unit) <= max_level),
+        )
+
+    lines = F.transform(F.split(text, "\n"), measured_line)
+    lines = F.filter(lines, lambda line: line.text != "")
+    outline = F.array_join(F.transform(bind(lines, within), lambda line: line.text), " ")
+    return F.when(outline != "", outline).otherwise(F.lit(texts.NO_STRUCTURE))
 
 
 def outline_indent(df: DataFrame, doc_id: str, text: str, max_level: int) -> DataFrame:

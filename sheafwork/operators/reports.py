@@ -9,6 +9,7 @@ from sheafwork.operators import cascade
 from sheafwork.operators.cascade import Resolution, request_gate, resolution_status
 from sheafwork.operators.scale import balanced_join, running_totals, union_all
 from sheafwork.operators.selection import chosen_files
+from sheafwork.session import materialize
 
 # How many conflicting paths are shown, and the texts of the report.
 SHOWN = 8
@@ -76,7 +77,7 @@ def error_report(resolution: Resolution, shown: int = SHOWN) -> DataFrame:
     more = F.col("n_matches") - shown
     plural = F.when(more == 1, F.lit("")).otherwise(F.lit("es"))
     resolved = running_totals(
-        chosen_files(resolution, passed=False),
+        materialize(chosen_files(resolution, passed=False), "resolved-files"),
         ["request_id"],
         [F.col("input_ord"), paths.path_order(F.col("path"))],
         {"before": F.lit(1)},

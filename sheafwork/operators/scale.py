@@ -15,7 +15,7 @@ BROADCAST_BYTES = 64 << 20
 #: Keys with more rows than this are split over several tasks.
 HEAVY_ROWS = 1_000_000
 
-#: The threshold rises with the table so that no more than this many keys can be above it.
+#: The heaviest keys are split, at most this many; any other has less than a 10,000th of the rows.
 MAX_HEAVY_KEYS = 10_000
 
 
@@ -30,13 +30,14 @@ def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
     return rows <= BROADCAST_ROWS and size_bytes <= BROADCAST_BYTES
 
 
-def _heavy_keys(df: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Keys to split, with the number of parts; at most MAX_HEAVY_KEYS rows."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("rows"))
-    threshold = max(HEAVY_ROWS, df.count() // MAX_HEAVY_KEYS)
-    return counts.filter(F.col("rows") > threshold).select(
-        *on, F.ceil(F.col("rows") / threshold).cast("int").alias(name)
+def _heavy_keys(counts: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Keys to split, with the number of parts, from the ``rows`` per key."""
+    heaviest = (
+        counts.filter(F.col("rows") > HEAVY_ROWS)
+        .orderBy(F.desc("rows"), *on)
+        .limit(MAX_HEAVY_KEYS)
     )
+    return heaviest.select(*on, F.ceil(F.col("rows") / HEAVY_ROWS).cast("int").alias(name))
 
 
 def _split(df: DataFrame, parts: Column, name: str) -> DataFrame:
@@ -46,8 +47,8 @@ def _split(df: DataFrame, parts: Column, name: str) -> DataFrame:
 
 def _replicate(df: DataFrame, parts: Column, name: str) -> DataFrame:
     """Repeat each row once per salt."""
-    salts = F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1)
-    return df.withColumn(name, F.explode(salts).cast("bigint"))
+    last = F.coalesce(parts, F.lit(1)).cast("bigint") - 1
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
 
 
 def balanced_join(
@@ -58,15 +59,17 @@ def balanced_join(
     small: str = "right",
     bound: DataFrame | None = None,
     split: str = "both",
+    right_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that does not put a heavy key into one task.
 
     ``small`` names the side to broadcast if it measures small enough (see ``fits_broadcast``,
-    also for ``bound``).  Otherwise both sides are shuffled, and keys that are heavy on either side are split:
-    a left row goes to one of ``left_parts`` salts and is repeated for each of ``right_parts``,
-    a right row the other way round, so each pair meets exactly once.  Where the right side has
-    few rows per key, ``split="left"`` saves counting it.  Semi, anti and left joins must not
-    repeat left rows, so they split the left side only.
+    also for ``bound``).  Otherwise both sides are shuffled, and keys that are heavy on either side
+    are split: a left row goes to one of ``left_parts`` salts and is repeated for each of
+    ``right_parts``, a right row the other way round, so each pair meets exactly once.  The rows
+    per key of the right side may be given as ``right_rows``; where it has few rows per key,
+    ``split="left"`` saves counting them.  Semi, anti and left joins must not repeat left rows, so
+    they split the left side only.
     """
     if small == "right" and fits_broadcast(right, bound):
         return left.join(F.broadcast(right), on, how)
@@ -74,9 +77,13 @@ def balanced_join(
         columns = left.columns + [c for c in right.columns if c not in on]
         return right.join(F.broadcast(left), on).select(*columns)
 
-    heavy = _heavy_keys(left, on, "left_parts")
+    def rows(df: DataFrame) -> DataFrame:
+        return df.groupBy(*on).agg(F.count("*").alias("rows"))
+
+    heavy = _heavy_keys(rows(left), on, "left_parts")
     if how == "inner" and split == "both":
-        heavy = heavy.join(_heavy_keys(right, on, "right_parts"), on, "full")
+        counts = rows(right) if right_rows is None else right_rows
+        heavy = heavy.join(_heavy_keys(counts, on, "right_parts"), on, "full")
     else:
         heavy = heavy.withColumn("right_parts", F.lit(1))
     heavy = F.broadcast(materialize(heavy, "heavy-keys"))

@@ -39,8 +39,7 @@ def chosen_files(resolution: Resolution, passed: bool | None = True) -> DataFram
             requests, gate, ["request_id"], how="left_semi", bound=resolution.requests
         )
     files = resolution.files.select("input", "path", "canonical_key")
-    rows = balanced_join(requests, files, ["input"], small="left", bound=resolution.requests)
-    return keep_first(rows)
+    return keep_first(resolution.fan_out(requests, files))
 
 
 def attach_content(

@@ -51,8 +51,10 @@ def assemble(
     """
     resolution = resolve(requests, catalog, root)
     chosen = materialize(selection.chosen_files(resolution), "chosen-files")
-    bodies = bundles.content_or_error(bundles.only_chosen(catalog, chosen), max_depth)
-    if max_depth is not None:
-        bodies = materialize(bodies, "outlines")
+    if max_depth is None:
+        bodies = bundles.content_or_error(catalog)
+    else:
+        outlined = bundles.content_or_error(bundles.only_chosen(catalog, chosen), max_depth)
+        bodies = materialize(outlined, "outlines")
     files = bundles.number_files(chosen, bundles.measure(bodies))
     return Assembly(resolution, files, bodies, max_depth)

@@ -25,7 +25,8 @@ PAGES = """page_paths AS (
            regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '^[a-z]+://', '') AS path
     FROM pages),
 pages_cat AS (
-    SELECT path, rtrim(regexp_replace(path, '^(www|m)\\.', ''), '/') AS canonical_key,
+    SELECT rtrim(path, '/') || '/' || page_id || '.html' AS path,
+           rtrim(regexp_replace(path, '^(www|m)\\.', ''), '/') AS canonical_key,
            'html' AS ext, html AS content
     FROM page_paths)"""
 CONVERSATIONS = """conversations_cat AS (
@@ -65,7 +66,7 @@ DIRECTORY_REQUESTS = f"""requests AS (
         FROM documents GROUP BY source, lang))"""
 PAGE_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (
-        SELECT min(page_id) AS request_id, ['*/' || split_part(path, '/', 2) || '/*', ''] AS inputs
+        SELECT min(page_id) AS request_id, ['*/' || split_part(path, '/', 2) || '/*/*', ''] AS inputs
         FROM page_paths GROUP BY split_part(path, '/', 2)))"""
 CONVERSATION_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (

@@ -57,7 +57,7 @@ def write_bundles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tables.page_path()
+    path = tables.page_address()
     host = F.substring_index(path, "/", 1)
     return tables.read(spark, sf_dir, "pages").select(
         "page_id",
@@ -67,7 +67,7 @@ def display_path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_key_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tables.page_path()
+    path = tables.page_address()
     return tables.read(spark, sf_dir, "pages").select(
         "page_id",
         paths.url_key(path).alias("page_key"),

@@ -16,10 +16,16 @@ def document_path() -> Column:
     return F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt"))
 
 
-def page_path() -> Column:
+def page_address() -> Column:
     return paths.url_path(F.col("url"))
 
 
+def page_path() -> Column:
+    """A URL may have been fetched more than once, so a page is a file in its URL's folder."""
+    folder = F.rtrim(page_address(), F.lit("/"))
+    return F.concat(folder, F.lit("/"), "page_id", F.lit(".html"))
+
+
 def document_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return table_catalog(read(spark, sf_dir, "documents"), document_path(), "text", **options)
 
@@ -29,8 +35,7 @@ def page_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
         read(spark, sf_dir, "pages"),
         page_path(),
         "html",
-        canonical_key=paths.url_key(page_path()),
-        ext=F.lit("html"),
+        canonical_key=paths.url_key(page_address()),
         **options,
     )
 
@@ -107,13 +112,13 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per language directory of the sites: its pages first, then all pages."""
-    lang = F.split(page_path(), "/").getItem(1)
+    lang = F.split(page_address(), "/").getItem(1)
     groups = (
         read(spark, sf_dir, "pages")
         .groupBy(lang.alias("lang"))
         .agg(F.min("page_id").alias("request_id"))
     )
-    inputs = F.array(F.concat(F.lit("*/"), "lang", F.lit("/*")), F.lit(""))
+    inputs = F.array(F.concat(F.lit("*/"), "lang", F.lit("/*/*")), F.lit(""))
     return request_batch(groups, "request_id", inputs)
 
 
