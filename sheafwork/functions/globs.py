@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from sheafwork.functions.binding import bind
+
 # The messages of malformed globs.
 BAD_STARS = "wildcards are either regular `*` or recursive `**`"
 BAD_RECURSION = "recursive wildcards must form a single path component"
@@ -35,12 +37,16 @@ def _well_formed_prefix(value: Column, char_class: str) -> Column:
 
 def glob_error(value: Column) -> Column:
     """Why a glob is malformed, with the position of the fault; NULL if it is well formed."""
-    good = _well_formed_prefix(value, _CLASS)
+    whole = _well_formed_prefix(value, _CLASS).alias("whole")
+    by_component = _well_formed_prefix(value, _CLASS_IN_COMPONENT).alias("by_component")
+    return bind(F.struct(value.alias("value"), whole, by_component), _fault)
+
+
+def _fault(parsed: Column) -> Column:
+    good, good_parts = parsed.whole, parsed.by_component
     at = F.length(good)
-    bad = value.substr(at + 1, F.length(value))
+    bad = parsed.value.substr(at + 1, F.length(parsed.value))
     own_component = (good == "") | F.endswith(good, F.lit("/"))
-
-    good_parts = _well_formed_prefix(value, _CLASS_IN_COMPONENT)
     at_in_component = F.length(F.substring_index(good_parts, "/", -1))
 
     def error(position: Column, message: str) -> Column:
@@ -107,20 +113,28 @@ def _token_regex(token: Column) -> Column:
     )
 
 
-def glob_to_regex(value: Column) -> Column:
-    """Regex for the paths a glob selects; NULL if it is malformed or can select no file.
+def can_select_files(value: Column) -> Column:
+    """True for a well-formed glob that may select a file of the catalog.
 
-    A glob that ends in ``/`` or ``**`` selects directories only, and an absolute one looks
-    outside the catalog.
+    One that ends in ``/`` or ``**`` selects directories only, and an absolute one looks outside
+    the catalog.
     """
+    return ~value.rlike(r"\A/|/\.?\z|(?:\A|/)\*\*\z") & glob_error(value).isNull()
+
+
+def translated(value: Column) -> Column:
+    """Regex for a glob that ``can_select_files``."""
     tokens = F.regexp_extract_all(
         _plain_spelling(value), F.lit(rf"(?s)\*\*/|\*|\?|{_CLASS}|[^*?\[]+"), F.lit(0)
     )
-    regex = F.concat(
+    return F.concat(
         F.lit(r"\A(?:"), F.array_join(F.transform(tokens, _token_regex), ""), F.lit(r")\z")
     )
-    no_file = value.rlike(r"\A/|/\.?\z|(?:\A|/)\*\*\z")
-    return F.when(glob_error(value).isNull() & ~no_file, regex)
+
+
+def glob_to_regex(value: Column) -> Column:
+    """Regex for the paths a glob selects; NULL if it is malformed or can select no file."""
+    return F.when(can_select_files(value), translated(value))
 
 
 def glob_literals(value: Column) -> Column:

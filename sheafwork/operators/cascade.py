@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sheafwork.functions import globs, paths
 from sheafwork.operators import matching
 from sheafwork.operators.scale import balanced_join, union_all
-from sheafwork.session import materialize, measured
+from sheafwork.session import materialize, measured, with_size
 
 SUCCESS = "Success"
 AMBIGUOUS = "Ambiguous"
@@ -61,17 +61,18 @@ def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) ->
     requests = materialize(requests, "requests")
     inputs = materialize(matching.distinct_inputs(requests), "inputs")
 
-    direct = matching.match_direct(inputs, catalog)
-    below = matching.match_directory(inputs, catalog)
-    # A path that is a file is not looked at as a directory, even if others lie below it.
-    files = direct.select("input").distinct()
-    below = balanced_join(below, files, ["input"], how="left_anti", bound=inputs)
-    exact = materialize(direct.unionByName(below), "exact-matches")
-
-    left = matching.unmatched_inputs(inputs, exact)
-    patterns = matching.glob_patterns(left).unionByName(matching.substring_patterns(left))
-    patterns = matching.rarest_pieces(patterns, catalog)
-    files, tallies = exact, _tally(exact)
+    exact = materialize(matching.match_exact(inputs, catalog), "exact-matches")
+    tallies = materialize(_exact_tally(exact), "exact-counts", both=F.count_if("both"))
+    if measured(tallies).metrics["both"]:
+        # A path that is a file is not looked at as a directory, even if others lie below it.
+        exact = balanced_join(
+            exact, tallies.select("input", "tier"), ["input", "tier"], "left_semi", bound=tallies
+        )
+    tallies = with_size(tallies.drop("both"), measured(tallies))
+
+    left = matching.unmatched_inputs(inputs, tallies)
+    patterns = matching.rarest_pieces(matching.path_patterns(left), catalog)
+    files = exact
     if measured(patterns).rows:
         globbed = materialize(matching.candidates(patterns, catalog, matching.GLOB), "glob-matches")
         # Of a substring's matches only the number is needed, and the match itself if it is the
@@ -86,6 +87,22 @@ def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) ->
     return Resolution(requests, catalog, outcomes, files, patterns)
 
 
+def _exact_tally(exact: DataFrame) -> DataFrame:
+    def count(tier: str) -> Column:
+        return F.count_if(F.col("tier") == tier)
+
+    n_files, n_below = F.col("n_files"), F.col("n_below")
+    counts = exact.groupBy("input").agg(
+        count(matching.FILE).alias("n_files"), count(matching.DIRECTORY).alias("n_below")
+    )
+    return counts.select(
+        "input",
+        F.when(n_files > 0, F.lit(matching.FILE)).otherwise(matching.DIRECTORY).alias("tier"),
+        F.when(n_files > 0, n_files).otherwise(n_below).alias("n_matches"),
+        ((n_files > 0) & (n_below > 0)).alias("both"),
+    )
+
+
 def _tally(matches: DataFrame, *more: Column) -> DataFrame:
     return matches.groupBy("input", "tier").agg(F.count("*").alias("n_matches"), *more)
 

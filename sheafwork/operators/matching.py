@@ -49,14 +49,34 @@ def match_directory(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     return hits.withColumn("tier", F.lit(DIRECTORY)).select(*MATCH_COLUMNS)
 
 
+def match_exact(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``match_direct`` and ``match_directory`` in one reading of the paths."""
+    value, path = F.col("input"), F.col("path")
+    wanted = inputs.select(
+        "input",
+        paths.lookup_path(value).alias("name"),
+        paths.names_directory(value).alias("directory_only"),
+    ).filter(F.col("name").isNotNull())
+    names = F.concat(paths.ancestors(path), F.array(path))
+    listed = catalog.select(F.explode(names).alias("name"), "path", "canonical_key")
+    hits = balanced_join(listed, wanted, ["name"], bound=inputs, split="left")
+    is_file = F.col("name") == path
+    tier = F.when(is_file, F.lit(FILE)).otherwise(F.lit(DIRECTORY)).alias("tier")
+    return hits.filter(~(is_file & F.col("directory_only"))).select(
+        "input", tier, "path", "canonical_key"
+    )
+
+
 def match_glob(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Inputs that are a well-formed glob, with every file it selects."""
-    return candidates(rarest_pieces(glob_patterns(inputs), catalog), catalog)
+    inputs = inputs.filter(globs.is_glob(F.col("input")))
+    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog)
 
 
 def match_substring(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Inputs that occur in a path; case counts.  Globs are not looked for literally."""
-    return candidates(rarest_pieces(substring_patterns(inputs), catalog), catalog)
+    inputs = inputs.filter(~globs.is_glob(F.col("input")))
+    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog)
 
 
 def unmatched_inputs(requests: DataFrame, matches: DataFrame) -> DataFrame:
@@ -72,25 +92,18 @@ def unmatched_inputs(requests: DataFrame, matches: DataFrame) -> DataFrame:
 # joined to the pieces of all paths.  Only the pairs that share it are tested in full.
 
 
-def glob_patterns(inputs: DataFrame) -> DataFrame:
-    """``input, tier, regex, literals`` of the inputs that are globs and can select a file."""
-    value = F.col("input")
-    return inputs.filter(globs.is_glob(value)).select(
-        "input",
-        F.lit(GLOB).alias("tier"),
-        globs.glob_to_regex(value).alias("regex"),
-        globs.glob_literals(value).alias("literals"),
-    ).filter(F.col("regex").isNotNull())
+def path_patterns(inputs: DataFrame) -> DataFrame:
+    """``input, tier, regex, literals``: what to look for in the paths for each input.
 
-
-def substring_patterns(inputs: DataFrame) -> DataFrame:
-    """``input, tier, regex, literals`` of the inputs that are not globs."""
+    Malformed globs and those that can select no file are left out.
+    """
     value = F.col("input")
-    return inputs.filter(~globs.is_glob(value)).select(
+    glob = globs.is_glob(value)
+    return inputs.filter(~glob | globs.can_select_files(value)).select(
         "input",
-        F.lit(SUBSTRING).alias("tier"),
-        F.lit(None).cast("string").alias("regex"),
-        F.array(value).alias("literals"),
+        F.when(glob, F.lit(GLOB)).otherwise(F.lit(SUBSTRING)).alias("tier"),
+        F.when(glob, globs.translated(value)).alias("regex"),
+        F.when(glob, globs.glob_literals(value)).otherwise(F.array(value)).alias("literals"),
     )
 
 

@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest test tables."""
 
+import functools
 from pathlib import Path
 
 import duckdb
@@ -7,6 +8,7 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry_points
+from sheafwork.plans import queries
 
 needs_tables = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
 
@@ -19,6 +21,15 @@ def duck():
     return connection
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """Queries that start with the same steps share them here, to save time."""
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("_mixed", "_document_bundles", "_page_outlines"):
+            patch.setattr(queries, name, functools.cache(getattr(queries, name)))
+        yield
+
+
 def test_every_query_has_sql():
     assert set(entry_points.queries()) == set(entry_points.oracle_sql())
 

@@ -97,7 +97,8 @@ def test_empty_requests_and_no_patterns(catalog_of, requests_of):
 def test_unmatched_inputs(catalog_of, requests_of):
     requests = requests_of(["src", "zzz", "zzz"])
     matches = matching.match_directory(matching.distinct_inputs(requests), catalog_of(FILES))
-    assert rows_of(matching.unmatched_inputs(requests, matches)) == [(1, 1, "zzz"), (1, 2, "zzz")]
+    unmatched = matching.unmatched_inputs(requests, matches)
+    assert rows_of(unmatched, *requests.columns) == [(1, 1, "zzz"), (1, 2, "zzz")]
 
 
 @pytest.mark.parametrize("large", [False, True])
