@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import globs, paths
-from sheafwork.functions.binding import bind
-from sheafwork.operators.scale import balanced_join
-from sheafwork.session import materialize, measured
+from sheafwork.operators.scale import balanced_join, fits_broadcast
+from sheafwork.session import materialize, measured, with_size
 
 FILE, DIRECTORY, GLOB, SUBSTRING = "file", "directory", "glob", "substring"
 MATCH_COLUMNS = ["input", "tier", "path", "canonical_key"]
@@ -70,13 +69,13 @@ def match_exact(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 def match_glob(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Inputs that are a well-formed glob, with every file it selects."""
     inputs = inputs.filter(globs.is_glob(F.col("input")))
-    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog)
+    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog, GLOB)
 
 
 def match_substring(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Inputs that occur in a path; case counts.  Globs are not looked for literally."""
     inputs = inputs.filter(~globs.is_glob(F.col("input")))
-    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog)
+    return candidates(rarest_pieces(path_patterns(inputs), catalog), catalog, SUBSTRING)
 
 
 def unmatched_inputs(requests: DataFrame, matches: DataFrame) -> DataFrame:
@@ -123,17 +122,26 @@ def _usable_length(literals: Column) -> Column:
 
 
 def _path_pieces(catalog: DataFrame, lengths: list[int], *columns: str) -> DataFrame:
-    path = F.concat(F.lit("/"), F.col("path"), F.lit("/"))
+    """``columns, framed, start, piece``: every piece of ``'/' + path + '/'`` with its place.
+
+    Explode and substring are compiled code, which cutting pieces by a lambda is not.
+    """
     if not lengths:  # No pattern to look for: do not read the paths.
         catalog, lengths = catalog.filter(F.lit(False)), PIECE_LENGTHS
-    pieces = bind(path, lambda framed: F.concat(*[_pieces(framed, F.lit(n)) for n in lengths]))
-    return catalog.select(*columns, F.explode(F.array_distinct(pieces)).alias("piece"))
+    framed, start = F.col("framed"), F.col("start")
+    rows = catalog.select(
+        *columns, F.concat(F.lit("/"), F.col("path"), F.lit("/")).alias("framed")
+    ).select("*", F.explode(F.sequence(F.lit(1), F.length(framed))).alias("start"))
+    pieces = [F.when(start <= F.length(framed) - n + 1, framed.substr(start, F.lit(n))) for n in lengths]
+    piece = pieces[0] if len(pieces) == 1 else F.explode(F.array(*pieces))
+    return rows.select("*", piece.alias("piece")).filter(F.col("piece").isNotNull())
 
 
 def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
-    """``input, tier, regex, piece, piece_length``: the piece to look each pattern up by.
+    """``input, tier, regex, piece_length, piece, n_held``: the piece to look each pattern up by.
 
-    Patterns with a piece that no path holds select nothing and are left out.
+    ``n_held`` is how often the paths hold it.  Patterns with a piece that no path holds select
+    nothing and are left out.
     """
     pieces = patterns.withColumn("piece_length", _usable_length(F.col("literals"))).select(
         "input",
@@ -150,40 +158,54 @@ def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     pieces = materialize(pieces, "pattern-pieces", **_length_metrics())
     if not measured(pieces).rows:
-        return pieces
+        return with_size(pieces.withColumn("n_held", F.lit(0)), measured(pieces))
+    held = _path_pieces(catalog, _lengths_in_use(pieces)).select("piece")
     wanted = pieces.select("piece").distinct()
-    held = _path_pieces(catalog, _lengths_in_use(pieces))
-    found = balanced_join(held, wanted, ["piece"], how="left_semi", bound=pieces)
-    counts = found.groupBy("piece").agg(F.count("*").alias("n_paths"))
-    counted = balanced_join(pieces, counts, ["piece"], how="left", bound=pieces)
+    if fits_broadcast(wanted, bound=pieces):
+        held = held.join(F.broadcast(wanted), ["piece"], "left_semi")
+    # Counted before the shuffle: a piece that most paths hold is one row per task.
+    counts = held.groupBy("piece").agg(F.count("*").alias("n_held"))
+    counted = balanced_join(pieces, counts, ["piece"], "left", bound=pieces)
+    n_held = F.coalesce("n_held", F.lit(0)).alias("n_held")
     rarest = (
         counted.groupBy("input", "tier", "regex", "piece_length")
-        .agg(F.min(F.struct(F.coalesce("n_paths", F.lit(0)).alias("n_paths"), "piece")).alias("rarest"))
-        .select("input", "tier", "regex", "piece_length", "rarest.*")
-        .filter("n_paths > 0")
-        .drop("n_paths")
+        .agg(F.min(F.struct(n_held, "piece")).alias("rarest"))
+        .select("input", "tier", "regex", "piece_length", "rarest.piece", "rarest.n_held")
+        .filter("n_held > 0")
     )
     return materialize(rarest, "rarest-pieces", **_length_metrics())
 
 
 def _length_metrics() -> dict[str, Column]:
-    return {f"length_{n}": F.count_if(F.col("piece_length") == n) for n in PIECE_LENGTHS}
+    length, tier = F.col("piece_length"), F.col("tier")
+    return {
+        f"{name}_{n}": F.count_if((tier == name) & (length == n))
+        for name in (GLOB, SUBSTRING)
+        for n in PIECE_LENGTHS
+    }
 
 
-def _lengths_in_use(patterns: DataFrame) -> list[int]:
+def _lengths_in_use(patterns: DataFrame, *tiers: str) -> list[int]:
     metrics = measured(patterns).metrics
-    return [n for n in PIECE_LENGTHS if metrics[f"length_{n}"]]
+    tiers = tiers or (GLOB, SUBSTRING)
+    return [n for n in PIECE_LENGTHS if any(metrics[f"{tier}_{n}"] for tier in tiers)]
 
 
-def candidates(patterns: DataFrame, catalog: DataFrame, tier: str | None = None) -> DataFrame:
-    """The matches of ``rarest_pieces``: paths that hold the piece and pass the full test."""
-    held = _path_pieces(catalog, _lengths_in_use(patterns), "path", "canonical_key")
-    chosen = patterns if tier is None else patterns.filter(F.col("tier") == tier)
+def candidates(patterns: DataFrame, catalog: DataFrame, tier: str) -> DataFrame:
+    """The matches of a tier's ``rarest_pieces``: paths that hold the piece and pass the full test."""
+    held = _path_pieces(catalog, _lengths_in_use(patterns, tier), "path", "canonical_key")
+    chosen = patterns.filter(F.col("tier") == tier)
     pairs = balanced_join(
-        held, chosen.select("input", "tier", "regex", "piece"), ["piece"], bound=patterns
+        held,
+        chosen.select("input", "tier", "regex", "piece"),
+        ["piece"],
+        bound=patterns,
+        left_rows=chosen.groupBy("piece").agg(F.max("n_held").alias("rows")),
     )
     path = F.col("path")
     selected = F.when(F.col("regex").isNull(), F.contains(path, F.col("input"))).otherwise(
         F.rlike(path, F.col("regex"))
     )
-    return pairs.filter(selected).select(*MATCH_COLUMNS)
+    # A path that holds the piece more than once counts where it does so first.
+    first = F.position("piece", "framed") == F.col("start")
+    return pairs.filter(first & selected).select(*MATCH_COLUMNS)

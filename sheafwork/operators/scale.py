@@ -59,6 +59,7 @@ def balanced_join(
     small: str = "right",
     bound: DataFrame | None = None,
     split: str = "both",
+    left_rows: DataFrame | None = None,
     right_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join that does not put a heavy key into one task.
@@ -66,10 +67,10 @@ def balanced_join(
     ``small`` names the side to broadcast if it measures small enough (see ``fits_broadcast``,
     also for ``bound``).  Otherwise both sides are shuffled, and keys that are heavy on either side
     are split: a left row goes to one of ``left_parts`` salts and is repeated for each of
-    ``right_parts``, a right row the other way round, so each pair meets exactly once.  The rows
-    per key of the right side may be given as ``right_rows``; where it has few rows per key,
-    ``split="left"`` saves counting them.  Semi, anti and left joins must not repeat left rows, so
-    they split the left side only.
+    ``right_parts``, a right row the other way round, so each pair meets exactly once.  The
+    ``rows`` per key of a side may be given as ``left_rows`` or ``right_rows`` if they are known;
+    where the right side has few per key, ``split="left"`` saves counting them.  Semi, anti and
+    left joins must not repeat left rows, so they split the left side only.
     """
     if small == "right" and fits_broadcast(right, bound):
         return left.join(F.broadcast(right), on, how)
@@ -80,7 +81,7 @@ def balanced_join(
     def rows(df: DataFrame) -> DataFrame:
         return df.groupBy(*on).agg(F.count("*").alias("rows"))
 
-    heavy = _heavy_keys(rows(left), on, "left_parts")
+    heavy = _heavy_keys(rows(left) if left_rows is None else left_rows, on, "left_parts")
     if how == "inner" and split == "both":
         counts = rows(right) if right_rows is None else right_rows
         heavy = heavy.join(_heavy_keys(counts, on, "right_parts"), on, "full")

@@ -438,11 +438,11 @@ ORACLES: dict[str, str] = {
     "resolution_status": f"{MIXED} SELECT * FROM status",
     "request_gate": f"{MIXED} SELECT request_id, passed FROM gate",
     "outcome_counts": f"""{MIXED}
-        SELECT request_id, count_if(status = 'Success') AS n_success,
-               count_if(status = 'Ambiguous') AS n_ambiguous,
-               count_if(status = 'InvalidGlobPattern') AS n_invalid_glob,
-               count_if(status = 'NotFound') AS n_not_found,
-               count_if(status = 'PathDoesNotExist') AS n_path_does_not_exist
+        SELECT request_id, count(*) FILTER (WHERE status = 'Success') AS n_success,
+               count(*) FILTER (WHERE status = 'Ambiguous') AS n_ambiguous,
+               count(*) FILTER (WHERE status = 'InvalidGlobPattern') AS n_invalid_glob,
+               count(*) FILTER (WHERE status = 'NotFound') AS n_not_found,
+               count(*) FILTER (WHERE status = 'PathDoesNotExist') AS n_path_does_not_exist
         FROM status GROUP BY request_id""",
     "bundle_totals": _totals(DOCUMENT_BATCH, CONTENT_BODIES, "n_lines", "lines"),
     "outline_totals": _totals(PAGE_OUTLINE_BATCH, OUTLINE_BODIES, "block_bytes", "characters"),

@@ -73,12 +73,10 @@ def test_read_errors_stand_in_for_content(spark, requests_of):
 
     df = spark.createDataFrame([('a"b.rs', None, "denied")], "p string, c string, e string")
     catalog = table_catalog(df, "p", "c", read_error="e")
-    for depth, hint in ((None, "rs"), (2, "")):
-        made = assemble(requests_of(['a"b.rs']), catalog, max_depth=depth)
-        assert joined(made.parts())[1] == (
-            f'a"b.rs\n```{hint}\nError: Could not read file content for "a\\"b.rs".\n'
-            "Details: denied\n```\n\n"
-        )
+    error = 'Error: Could not read file content for "a\\"b.rs".\nDetails: denied'
+    made = assemble(requests_of(['a"b.rs']), catalog)
+    assert joined(made.parts())[1] == f'a"b.rs\n```rs\n{error}\n```\n\n'
+    assert rows_of(bundles.content_or_error(catalog, 2)) == [('a"b.rs', "", error)]
 
 
 def test_request_batch(spark):
@@ -129,20 +127,18 @@ def test_file_contents(spark, tree, requests_of):
     )
 
 
-@pytest.mark.parametrize("fmt", ["parquet", "json", "text"])
-def test_write_bundles(spark, tmp_path, catalog_of, requests_of, fmt):
+def test_write_bundles(spark, tmp_path, catalog_of, requests_of):
     parts = assemble(requests_of(["a", "c.md"], ["c.md"]), catalog_of(FILES)).parts(30)
-    target = tmp_path / "out"
-    write_bundles(parts, str(target), fmt)
-    if fmt == "text":
-        for request_id, markdown in joined(parts).items():
-            files = sorted((target / f"request_id={request_id}").glob("part-*"))
-            assert "".join(f.read_text() for f in files) == markdown
-    else:
-        back = spark.read.schema(parts.schema).format(fmt).load(str(target))
+    for fmt in ("parquet", "json"):
+        write_bundles(parts, str(tmp_path / fmt), fmt)
+        back = spark.read.schema(parts.schema).format(fmt).load(str(tmp_path / fmt))
         assert rows_of(back, *parts.columns) == rows_of(parts)
+    write_bundles(parts, str(tmp_path / "text"), "text")
+    for request_id, markdown in joined(parts).items():
+        files = sorted((tmp_path / "text" / f"request_id={request_id}").glob("part-*"))
+        assert "".join(f.read_text() for f in files) == markdown
     with pytest.raises(ValueError, match="not one of"):
-        write_bundles(parts, str(target), "csv")
+        write_bundles(parts, str(tmp_path / "csv"), "csv")
 
 
 def test_running_totals_cut_a_large_group(spark):

@@ -77,7 +77,8 @@ def test_matches_equal_brute_force(request, large, catalog_of, requests_of):
     if large:
         request.getfixturevalue("no_broadcast")
     files = {f"d{i % 4}/{w}{i}.txt": "" for i in range(60) for w in ("a", "abc-long-name-")}
-    substrings = ["a1", "long-name-3", "d1/", "txt", "/abc-long-name-11.", "é", "d3/abc-long-name-7.txt x"]
+    files |= {"aaaaaaaaaaaaa/aaaaaaaaaaaaa": "", "a": ""}
+    substrings = ["aaa", "aaaaaaaaa", "/aaaaaaaaa", "a", "a1", "long-name-3", "d1/", "txt", "/abc-long-name-11.", "é", "d3/abc-long-name-7.txt x"]
     inputs = requests_of(substrings).select("input")
     found = rows_of(matching.match_substring(inputs, catalog_of(files)), "input", "path")
     assert found == sorted((s, p) for s in substrings for p in files if s in p)
@@ -134,26 +135,33 @@ def test_gate_and_counts(catalog_of, requests_of):
     ]
 
 
-@pytest.mark.parametrize(("n_files", "tail"), [(8, None), (9, "1 more match."), (11, "3 more matches.")])
-def test_conflict_preview_and_report(catalog_of, requests_of, n_files, tail):
-    files = {f"d/f{i:02}": "" for i in range(n_files)} | {"x": ""}
-    resolution = resolve(requests_of(["/f", "x"], ["x"]), catalog_of(files))
+def test_conflict_preview_and_report(catalog_of, requests_of):
+    cases = [("e", 8, None), ("f", 9, "1 more match."), ("g", 11, "3 more matches.")]
+    files = {f"d/{name}{i:02}": "" for name, n, _ in cases for i in range(n)} | {"x": ""}
+    requests = requests_of(*[[f"/{name}", "x"] for name, _, _ in cases], ["x"])
+    resolution = resolve(requests, catalog_of(files))
     preview = reports.conflict_preview(resolution)
-    assert rows_of(preview, "match_no", "path", "n_matches", "n_more") == [
-        (i + 1, f"d/f{i:02}", n_files, n_files - 8) for i in range(8)
+    assert rows_of(preview, "request_id", "match_no", "path", "n_matches", "n_more") == [
+        (k, i + 1, f"d/{name}{i:02}", n, n - 8)
+        for k, (name, n, _) in enumerate(cases, 1)
+        for i in range(8)
     ]
-    report = reports.error_report(resolution)
-    lines = report.orderBy("request_id", "section_no", "input_ord", "line_no").collect()
-    assert {r.request_id for r in lines} == {1}
-    expected = [
-        reports.HEADING,
-        "  • Input '/f' matched:",
-        *[f'    → "d/f{i:02}"' for i in range(8)],
-        *([f"    → ... and {tail}"] if tail else []),
-        '  ✓ "x"',
-        reports.CLOSING,
-    ]
-    assert [r.text for r in lines] == expected
+    lines = (
+        reports.error_report(resolution)
+        .orderBy("request_id", "section_no", "input_ord", "line_no")
+        .collect()
+    )
+    assert {r.request_id for r in lines} == {1, 2, 3}
+    for k, (name, _, tail) in enumerate(cases, 1):
+        expected = [
+            reports.HEADING,
+            f"  • Input '/{name}' matched:",
+            *[f'    → "d/{name}{i:02}"' for i in range(8)],
+            *([f"    → ... and {tail}"] if tail else []),
+            '  ✓ "x"',
+            reports.CLOSING,
+        ]
+        assert [r.text for r in lines if r.request_id == k] == expected
 
 
 def test_report_sections(catalog_of, requests_of):
