@@ -44,7 +44,8 @@ SCRIPTS = f"""scripts_cat AS (
 
 # --- requests -----------------------------------------------------------------------------------
 
-_UNNEST = "SELECT request_id, (generate_subscripts(inputs, 1) - 1)::INTEGER AS input_ord, unnest(inputs) AS input"
+_UNNEST = """SELECT request_id, (generate_subscripts(inputs, 1) - 1)::INTEGER AS input_ord,
+           unnest(inputs) AS input"""
 
 MIXED_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (
@@ -326,7 +327,8 @@ def _fallback(docs: str) -> str:
     FROM {docs}"""
 
 
-DISPATCH = f"""{_with(DOCUMENTS, PAGES, EVENTS, SCRIPTS, _nodes("SELECT path AS doc_id, content AS markup FROM pages_cat"))}
+_PAGE_NODES = _nodes("SELECT path AS doc_id, content AS markup FROM pages_cat")
+DISPATCH = f"""{_with(DOCUMENTS, PAGES, EVENTS, SCRIPTS, _PAGE_NODES)}
 SELECT doc_id AS path, outline AS body FROM ({_joined(1)})
 UNION ALL
 SELECT path, array_to_string(regexp_extract_all(content, '{_JSON_TOKEN}'), ' ') FROM events_cat

@@ -26,7 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def file_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_catalog(spark, sf_dir).select("path", "canonical_key", "ext", (F.col("n_bytes") > 0).alias("has_bytes"))
+    has_bytes = (F.col("n_bytes") > 0).alias("has_bytes")
+    return file_catalog(spark, sf_dir).select("path", "canonical_key", "ext", has_bytes)
 
 
 def file_contents_query(spark: SparkSession, sf_dir: str) -> DataFrame:

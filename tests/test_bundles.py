@@ -122,7 +122,8 @@ def test_file_contents(spark, tree, requests_of):
     made = assemble(requests_of(["one", "sub"]), catalog)
     assert joined(made.parts())[1] == (
         "one.txt\n```txt\neins\n```\n\n"
-        f'sub/bad.bin\n```bin\nError: Could not read file content for "sub/bad.bin".\nDetails: {NOT_UTF8}\n```\n\n'
+        'sub/bad.bin\n```bin\nError: Could not read file content for "sub/bad.bin".\n'
+        f"Details: {NOT_UTF8}\n```\n\n"
         "sub/deep/zwei.py\n```py\nzweí = 2\n```\n\n"
     )
 
