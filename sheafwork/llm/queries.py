@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import attribution, decontaminate, language, packing, quality, simhash
+from sheafwork.llm import attribution, decontaminate, language, packing, quality, repeats, simhash
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -43,6 +43,10 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.find_repeats(read(spark, sf_dir, "documents")).drop("kept", "removed")
+
+
 def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
         "op3_wu_manber_contamination": contamination,
         "op5_ppm_language": languages,
         "op6_simhash_popcount": near_duplicates,
+        "op7_prefix_free_repeats": repeated_strings,
         "op8_token_attribution": section_tokens,
         "op10_certified_packing": packed_sequences,
     }.items()
