@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import attribution, decontaminate, language, packing, quality, repeats, simhash
+from sheafwork.llm import attribution, decontaminate, imatch, language, packing, quality, repeats, simhash
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -25,6 +25,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_edits(read(spark, sf_dir, "documents"))
+
+
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
         read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
@@ -66,6 +70,7 @@ QUERIES = {
     name: _registered(query)
     for name, query in {
         "op1_quality_discriminant": quality_scores,
+        "op2_imatch_fingerprints": fingerprints,
         "op3_wu_manber_contamination": contamination,
         "op5_ppm_language": languages,
         "op6_simhash_popcount": near_duplicates,
