@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import attribution, decontaminate, imatch, language, packing, quality, repeats, simhash
+from sheafwork.llm import attribution, decontaminate, imatch, language, packing, pii, quality, repeats, simhash
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -55,6 +55,20 @@ def section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(read(spark, sf_dir, "documents"))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{kind}")
+        for k, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.spans_as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.spans_as_text(F.col("spans")).alias("spans"),
+    )
+
+
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -76,6 +90,7 @@ QUERIES = {
         "op6_simhash_popcount": near_duplicates,
         "op7_prefix_free_repeats": repeated_strings,
         "op8_token_attribution": section_tokens,
+        "op9_bootstrapped_pii": personal_data,
         "op10_certified_packing": packed_sequences,
     }.items()
 }
