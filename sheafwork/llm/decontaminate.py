@@ -288,3 +288,33 @@ def _results(batch, low, high, bounds, hit, items, last):
             "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans",
         ],
     )
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of a test item occurs."""
+    at = docs.columns.index(text_column)
+    context = docs.sparkSession.sparkContext
+
+    def keeper(spread):
+        def keep(batches):
+            block = spread.value
+            for batch in batches:
+                for low, high, data, offsets in text_chunks(batch.column(at)):
+                    word, bounds = words(data, offsets)
+                    clean = np.ones(high - low, bool)
+                    for patterns in block.patterns:
+                        clean[row_of(bounds, patterns.find(word, bounds)[0])] = False
+                    yield batch.slice(low, high - low).filter(pa.array(clean))
+
+        return keep
+
+    for block in item_blocks(benchmark, item_column, item_text, block_bytes):
+        docs = docs.mapInArrow(keeper(context.broadcast(block)), docs.schema)
+    return docs

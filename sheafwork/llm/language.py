@@ -193,6 +193,16 @@ def _code_lengths(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, own, np.where(total > 0, escape, 0.0) + shorter)
 
 
+def decide(
+    model: LanguageModel, data: np.ndarray, offsets: np.ndarray, lettered: pa.Array
+) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each text's language in the model, one past the last for ``und``, and code lengths."""
+    count = len(model.languages)
+    lengths = model.lengths(data, offsets) if count else np.zeros((len(offsets) - 1, 1))
+    best = np.minimum(lengths.argmin(1), count)
+    return np.where(lettered.to_numpy(zero_copy_only=False), best, count), lengths
+
+
 def predict_language(
     docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -207,17 +217,12 @@ def predict_language(
         known = spread.value
         for batch in batches:
             ids = batch.column(0)
-            lettered = batch.column(2).to_numpy(zero_copy_only=False)
+            lettered = batch.column(2)
             for low, high, data, offsets in text_chunks(batch.column(1)):
-                lengths = known.lengths(data, offsets)
-                if not known.languages:
-                    lengths = np.zeros((high - low, 1))
-                best = lengths.argmin(1)
+                best, lengths = decide(known, data, offsets, lettered.slice(low, high - low))
                 excess = (lengths - lengths.min(1, keepdims=True)) * np.log(2) / TEMPERATURE
                 score = 1 / np.exp(-excess).sum(1)
                 names = np.array([*known.languages, UNKNOWN], dtype=object)
-                best = np.where(lettered[low:high], best, len(names) - 1)
-                best = np.minimum(best, len(names) - 1)
                 decided = best < len(known.languages)
                 size = np.maximum(1, np.diff(offsets))
                 yield pa.record_batch(
@@ -238,3 +243,22 @@ def predict_language(
     return source.mapInArrow(
         predict, "doc_id bigint, lang_pred string, score double, bits_per_byte double"
     )
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is not ``und``."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def keep(batches):
+        known = spread.value
+        for batch in batches:
+            lettered = batch.column(batch.num_columns - 1)
+            rows = batch.select(range(batch.num_columns - 1))
+            for low, high, data, offsets in text_chunks(batch.column(at)):
+                best, _ = decide(known, data, offsets, lettered.slice(low, high - low))
+                identified = best < len(known.languages)
+                yield rows.slice(low, high - low).filter(pa.array(identified))
+
+    lettered = F.coalesce(F.col(f"`{text_column}`").rlike(r"\p{L}"), F.lit(False))
+    return docs.select("*", lettered.alias("_lettered")).mapInArrow(keep, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import attribution, decontaminate, imatch, language, packing, pii, quality, repeats, simhash
+from sheafwork.llm import attribution, decontaminate, imatch, language, packing, pii, quality, repeats, simhash, wrappers
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -36,6 +36,10 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items", "spans")
 
 
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit_languages(docs.where(_remainder(5) != 0))
@@ -86,6 +90,7 @@ QUERIES = {
         "op1_quality_discriminant": quality_scores,
         "op2_imatch_fingerprints": fingerprints,
         "op3_wu_manber_contamination": contamination,
+        "op4_wrapper_texts": main_texts,
         "op5_ppm_language": languages,
         "op6_simhash_popcount": near_duplicates,
         "op7_prefix_free_repeats": repeated_strings,
