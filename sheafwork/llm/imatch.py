@@ -149,15 +149,16 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     ids = named.groupBy("doc_id").agg(
         F.max(F.xxhash64("text")).alias("chosen"), F.max(third).alias("needed")
     )
-    order = shared(next_smaller(ids, "doc_id", ["needed"]), "order")
-    # Each document hands its first characters to the one it follows; both joins share one exchange.
+    order = shared(next_smaller(ids, "doc_id", ["needed", "chosen"]), "order")
+    # Each document hands its first characters to the one it follows.  Other rows with its id hand
+    # nothing; a filter would become a join key, and the two joins would not share one exchange.
     follows = order.select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("needed").alias("handed")
-    ).join(ids.select("doc_id", "chosen"), "doc_id")
+    ).join(order.select("doc_id", "chosen"), "doc_id")
+    head = F.when(F.xxhash64("text") == F.col("chosen"), F.expr("substring(text, 1, handed)"))
     heads = (
         named.join(follows.hint("shuffle_hash"), "doc_id")
-        .where(F.xxhash64("text") == F.col("chosen"))
-        .select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, handed)").alias("head"))
+        .select(F.col("before").alias("doc_id"), head.alias("head"))
         .groupBy("doc_id").agg(F.max("head").alias("head"))
     )
     neighbours = heads.join(order.select("doc_id", "next_id"), "doc_id")
