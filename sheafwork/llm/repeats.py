@@ -26,9 +26,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from sheafwork.llm.arrays import Slices, mix, ranges, row_of, runs, text_chunks
+from sheafwork.llm.arrays import Slices, mix, ranges, runs, text_chunks
 from sheafwork.llm.tables import partitions
 
 LENGTH = 50
@@ -37,18 +39,19 @@ TRIGGER = 24
 PHRASE = 4096
 #: Bytes of text that are reduced together before anything is moved.
 BATCH_BYTES = 8 << 20
+#: Bytes of repeated phrases for the same.
+CONTENT_BYTES = 16 << 20
 #: A trigger is frequent if this share of the sampled texts, and this many, have it or one of its slot.
 FREQUENT_SHARE, FREQUENT_TEXTS = 0.001, 8
 #: One text in so many is sampled for that, and triggers are counted in so many slots.
 SAMPLED, SLOTS = 16, 1 << 20
-#: Parts that a task works through one after another.
-PARTS_PER_TASK = 8
+#: Shares of its dictionary that a task orders one after another.
+SHARES = 8
 
-_MOVED = (
-    "part int, doc_ids binary, texts binary, counts binary, keys binary, starts binary, sizes binary, "
-    "content binary"
-)
-_FOUND = "doc_id bigint, text_hash bigint, starts binary, sizes binary"
+_COLUMNS = ("doc_ids", "texts", "counts", "keys", "starts", "sizes", "content")
+#: Packed entries on their way: to the part of their key, or, once found, to that of their document.
+_PACKED = "part int, found boolean, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+_FOUND = "doc_id bigint, found array<struct<text_hash:bigint,hits:binary>>"
 
 
 def _planes(values: np.ndarray, kind: str) -> bytes:
@@ -110,14 +113,24 @@ def _least_per_key(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.n
     return least, many
 
 
-def _send(parts, doc_ids, texts, keys, starts, sizes, content=None):
-    """Rows of packed entries, one per part; entries keep their order."""
+def _hits(starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    return _planes(starts, "<u4") + _planes(sizes, "<u2")
+
+
+def _from_hits(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = len(raw) // 6 * 4
+    return _numbers(raw[:cut], "<u4").astype(np.int64), _numbers(raw[cut:], "<u2").astype(np.int64)
+
+
+def _send(parts, doc_ids, texts, keys, starts, sizes, body=None, found=False) -> pa.RecordBatch:
+    """Entries packed into one row per part, in the order they have.
+
+    ``texts`` may be None; ``body`` is the bytes of all entries and how many each has.
+    """
+    texts = np.zeros(len(doc_ids), np.int64) if texts is None else texts
     order = np.argsort(parts, kind="stable")
     cuts = np.flatnonzero(np.diff(parts[order], prepend=-1, append=-2))
-    at = None
-    if content is not None:
-        width = content[1]
-        at = np.concatenate(([0], np.cumsum(width)))
+    at = None if body is None else np.concatenate(([0], np.cumsum(body[1])))
     rows = defaultdict(list)
     for low, high in zip(cuts, cuts[1:]):
         own = order[low:high]
@@ -128,80 +141,53 @@ def _send(parts, doc_ids, texts, keys, starts, sizes, content=None):
         rows["doc_ids"].append(_planes(doc_ids[own][first], "<i8"))
         rows["texts"].append(_planes(texts[own][first], "<i8"))
         rows["counts"].append(_planes(np.diff(np.append(first, len(own))), "<u4"))
-        rows["keys"].append(keys[own].tobytes())
+        rows["keys"].append(None if keys is None else keys[own].tobytes())
         rows["starts"].append(_planes(starts[own], "<u4"))
         rows["sizes"].append(_planes(sizes[own], "<u2"))
         rows["content"].append(
-            b"" if content is None else content[0][ranges(at[own], content[1][own])].tobytes()
+            None if body is None else zstandard.ZstdCompressor(level=3).compress(body[0][ranges(at[own], body[1][own])].tobytes())
         )
     return pa.record_batch(
         [
             pa.array(rows["part"], pa.int32()),
-            *(pa.array(rows[c], pa.binary()) for c in ("doc_ids", "texts", "counts", "keys", "starts", "sizes", "content")),
-        ],
-        names=["part", "doc_ids", "texts", "counts", "keys", "starts", "sizes", "content"],
-    )
-
-
-def _answer(doc_ids, texts, starts, sizes):
-    """One row per document with what was found in it."""
-    order = np.lexsort((starts, texts, doc_ids))
-    doc_ids, texts, starts, sizes = doc_ids[order], texts[order], starts[order], sizes[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = (doc_ids[1:] != doc_ids[:-1]) | (texts[1:] != texts[:-1])
-    cuts = np.append(np.flatnonzero(fresh), len(order))
-    spans = list(zip(cuts, cuts[1:])) if len(order) else []
-    return pa.record_batch(
-        [
-            pa.array(doc_ids[cuts[:-1]] if len(order) else [], pa.int64()),
-            pa.array(texts[cuts[:-1]] if len(order) else [], pa.int64()),
-            pa.array([_planes(starts[a:b], "<u4") for a, b in spans], pa.binary()),
-            pa.array([_planes(sizes[a:b], "<u2") for a, b in spans], pa.binary()),
+            pa.array([found] * len(rows["part"]), pa.bool_()),
+            *(pa.array(rows[c], pa.binary()) for c in _COLUMNS),
         ],
-        names=["doc_id", "text_hash", "starts", "sizes"],
-    )
-
-
-def _both(moved=None, found=None) -> pa.RecordBatch:
-    """Rows to move, and answers that need not be: in one schema, told apart by ``part``."""
-    batch = moved if moved is not None else found
-    names = ["part", "doc_ids", "texts", "counts", "keys", "starts", "sizes", "content", "doc_id", "text_hash"]
-    kinds = [pa.int32(), *[pa.binary()] * 7, pa.int64(), pa.int64()]
-    held = set(batch.schema.names)
-    return pa.record_batch(
-        [batch.column(n) if n in held else pa.nulls(batch.num_rows, k) for n, k in zip(names, kinds)],
-        names=names,
+        names=["part", "found", *_COLUMNS],
     )
 
 
-_EITHER = _MOVED + ", doc_id bigint, text_hash bigint"
+def _answer(parts: int, doc_ids, texts, starts, sizes) -> pa.RecordBatch:
+    """What was found, packed by the part of the document."""
+    part = (mix(doc_ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((starts, doc_ids))
+    texts = None if texts is None else texts[order]
+    return _send(part[order], doc_ids[order], texts, None, starts[order], sizes[order], found=True)
 
 
 def _parse(parts: int, length: int, trigger: int):
     """Texts to triggers: those shared inside a batch are answered, one of each is moved."""
 
     def flush(held):
-        doc, text, start, size, key = (np.concatenate(column) for column in zip(*held))
+        doc, start, size, key = (np.concatenate(column) for column in zip(*held))
         least, many = _least_per_key(key, doc)
         shared = many > 1
         if shared.any():
-            yield _both(found=_answer(doc[shared], text[shared], start[shared], size[shared]))
+            yield _answer(parts, doc[shared], None, start[shared], size[shared])
         own = doc == least
         part = (key[own] % np.uint64(parts)).astype(np.int64)
         high = (key[own] >> np.uint64(32)).astype("<u4")
-        # Phrases shared inside the batch are marked by a size of 0: they are answered already.
-        sizes = np.where(shared[own], 0, size[own])
-        yield _both(moved=_send(part, doc[own], text[own], high, start[own], sizes))
+        # A size of 0 says that the phrase is shared inside its batch, and answered already.
+        yield _send(part, doc[own], None, high, start[own], np.where(shared[own], 0, size[own]))
 
     def parse(batches):
         held, taken = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = batch.column(1).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy()
             for low, high, data, offsets in text_chunks(batch.column(2)):
                 row, start, size, key = phrases(data, offsets, length, trigger)
                 if len(row):
-                    held.append((ids[low + row], texts[low + row], start, size, key))
+                    held.append((ids[low + row], start, size, key))
                 taken += len(data)
                 if taken >= BATCH_BYTES and held:
                     yield from flush(held)
@@ -212,34 +198,71 @@ def _parse(parts: int, length: int, trigger: int):
     return parse
 
 
-def _by_part(batches):
-    """Answers to pass on, then the moved rows of each part of a task."""
+def _by_part(rows: list[dict]):
+    """(documents, texts, rows, starts, sizes) of the entries of each part."""
     parts = defaultdict(list)
-    for batch in batches:
-        for row in batch.to_pylist():
-            parts[row["part"]].append(row)
-    for rows in parts.values():
-        counts = [_numbers(r["counts"], "<u4").astype(np.int64) for r in rows]
+    for row in rows:
+        parts[row["part"]].append(row)
+    for own in parts.values():
+        counts = [_numbers(r["counts"], "<u4").astype(np.int64) for r in own]
         yield (
-            np.concatenate([np.repeat(_numbers(r["doc_ids"], "<i8"), c) for r, c in zip(rows, counts)]),
-            np.concatenate([np.repeat(_numbers(r["texts"], "<i8"), c) for r, c in zip(rows, counts)]),
-            rows,
-            np.concatenate([_numbers(r["starts"], "<u4") for r in rows]).astype(np.int64),
-            np.concatenate([_numbers(r["sizes"], "<u2") for r in rows]).astype(np.int64),
+            np.concatenate([np.repeat(_numbers(r["doc_ids"], "<i8"), c) for r, c in zip(own, counts)]),
+            np.concatenate([np.repeat(_numbers(r["texts"], "<i8"), c) for r, c in zip(own, counts)]),
+            own,
+            np.concatenate([_numbers(r["starts"], "<u4") for r in own]).astype(np.int64),
+            np.concatenate([_numbers(r["sizes"], "<u2") for r in own]).astype(np.int64),
         )
 
 
-def _repeated_triggers(batches):
+def _meeting(solve):
+    """A step that passes on what is found and gives the moved entries of a part to ``solve``."""
+
+    def meet(batches):
+        moved: list[dict] = []
+        for batch in batches:
+            found = batch.column("found")
+            yield batch.filter(found)
+            moved += batch.filter(pc.invert(found)).to_pylist()
+        yield from solve(moved)
+
+    return meet
+
+
+def _repeated_triggers(parts: int):
     """Triggers in two documents or more, from the entries of all batches."""
-    for doc, text, rows, start, size in _by_part(batches):
-        key = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
-        inside = size == 0
-        _, many = _least_per_key(key, doc)
-        marked = np.zeros(len(key), bool)
-        if inside.any():
+
+    def solve(moved):
+        for doc, _, rows, start, size in _by_part(moved):
+            key = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
+            inside = size == 0
+            _, many = _least_per_key(key, doc)
             marked = np.isin(key, key[inside])
-        wanted = ((many > 1) | marked) & ~inside
-        yield _answer(doc[wanted], text[wanted], start[wanted], size[wanted])
+            wanted = ((many > 1) | marked) & ~inside
+            yield _answer(parts, doc[wanted], None, start[wanted], size[wanted])
+
+    return _meeting(solve)
+
+
+def _by_document(batches):
+    """One row per document, with all that was found in it."""
+    packed = [row for batch in batches for row in batch.to_pylist()]
+    for doc, text, _, start, size in _by_part(packed):
+        order = np.lexsort((start, text, doc))
+        doc, text, start, size = doc[order], text[order], start[order], size[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        fresh = new.copy()
+        fresh[1:] |= text[1:] != text[:-1]
+        first = np.flatnonzero(fresh)
+        ends = np.append(first[1:], len(doc))
+        hits = [_hits(start[a:b], size[a:b]) for a, b in zip(first, ends)]
+        values = pa.StructArray.from_arrays(
+            [pa.array(text[first], pa.int64()), pa.array(hits, pa.binary())], names=["text_hash", "hits"]
+        )
+        lists = np.append(np.flatnonzero(new[first]), len(first)).astype(np.int32)
+        yield pa.record_batch(
+            [pa.array(doc[new]), pa.ListArray.from_arrays(pa.array(lists), values)], names=["doc_id", "found"]
+        )
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -274,99 +297,131 @@ def _dictionary(parts: int, length: int, trigger: int, slots):
     def candidates(found, ids, texts, low, high, offsets):
         columns = [[], [], [], [], []]
         for row in range(low, high):
+            base, end = offsets[row - low], offsets[row - low + 1]
             for hit in found[row].as_py() or ():
-                if hit["text_hash"] == texts[row]:
-                    start = _numbers(hit["starts"], "<u4").astype(np.int64)
-                    size = _numbers(hit["sizes"], "<u2").astype(np.int64)
-                    own = (ids[row], texts[row], start, size, offsets[row - low])
-                    for column, value in zip(columns, own):
-                        column.append(np.broadcast_to(value, len(start)))
+                start, size = _from_hits(hit["hits"])
+                # Rows with one id share their hints; those of another, longer text are left out.
+                fits = base + start + size + length - 1 <= end
+                own = (ids[row], texts[row], start[fits], size[fits], base)
+                for column, value in zip(columns, own):
+                    column.append(np.broadcast_to(value, int(fits.sum())))
         return [np.concatenate(c) for c in columns] if columns[0] else None
 
-    def enter_chunk(data, doc, text, start, size, base):
+    def entries(data, doc, text, start, size, base):
+        """Phrases of a chunk that are moved whole, and strings that are moved one by one."""
         slices = Slices(data)
-        content = slices.hash(base + start, base + start + size + length - 1)
-        least, _ = _least_per_key(content, doc)
-        covered = doc > least
-        if covered.any():
-            yield _both(found=_answer(doc[covered], text[covered], start[covered], size[covered]))
         hashes = slices.windows(trigger)
         near = np.lib.stride_tricks.sliding_window_view(hashes, length - trigger + 1)
         key = near[base + start].min(1)
         often = slots.value[_slot(key)]
-        whole = ~covered & ~often
-        if whole.any():
-            part = (mix(key[whole]) % np.uint64(parts)).astype(np.int64)
-            width = size[whole] + length - 1
-            body = data[ranges(base[whole] + start[whole], width)], width
-            yield _both(
-                moved=_send(part, doc[whole], text[whole], key[whole], start[whole], size[whole], body)
-            )
-        single = ~covered & often
-        if single.any():
-            count = size[single]
-            begin = ranges(start[single], count)
-            base, doc, text = (np.repeat(v[single], count) for v in (base, doc, text))
-            key = slices.hash(base + begin, base + begin + length)
-            least, _ = _least_per_key(key, doc)
-            seen = doc > least
-            if seen.any():
-                one = np.ones(int(seen.sum()), np.int64)
-                yield _both(found=_answer(doc[seen], text[seen], begin[seen], one))
-            own = ~seen
+        w = ~often
+        width = size[w] + length - 1
+        content = slices.hash(base[w] + start[w], base[w] + start[w] + width)
+        body = data[ranges(base[w] + start[w], width)]
+        whole = (doc[w], text[w], start[w], size[w], key[w], content, body)
+        count = size[often]
+        begin = ranges(start[often], count)
+        at = np.repeat(base[often], count) + begin
+        single = (np.repeat(doc[often], count), np.repeat(text[often], count), begin, slices.hash(at, at + length))
+        return whole, single
+
+    def flush(wholes, singles):
+        doc, text, start, size, key, content, body = (np.concatenate(c) for c in zip(*wholes))
+        least, _ = _least_per_key(content, doc)
+        covered = doc > least
+        if covered.any():
+            yield _answer(parts, doc[covered], text[covered], start[covered], size[covered])
+        own = ~covered
+        if own.any():
+            width = size + length - 1
+            kept = body[ranges((np.cumsum(width) - width)[own], width[own])], width[own]
+            part = (mix(key[own]) % np.uint64(parts)).astype(np.int64)
+            yield _send(part, doc[own], text[own], key[own], start[own], size[own], kept)
+        doc, text, start, key = (np.concatenate(c) for c in zip(*singles))
+        least, _ = _least_per_key(key, doc)
+        seen = doc > least
+        if seen.any():
+            yield _answer(parts, doc[seen], text[seen], start[seen], np.ones(int(seen.sum()), np.int64))
+        own = ~seen
+        if own.any():
             part = (mix(key[own]) % np.uint64(parts)).astype(np.int64)
             none = np.zeros(len(part), np.int64)
-            yield _both(moved=_send(part, doc[own], text[own], key[own], begin[own], none))
+            yield _send(part, doc[own], text[own], key[own], start[own], none)
 
     def enter(batches):
+        wholes, singles, taken = [], [], 0
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy()
             texts = batch.column(1).to_numpy()
             for low, high, data, offsets in text_chunks(batch.column(2)):
                 columns = candidates(batch.column(3), ids, texts, low, high, offsets)
-                if columns:
-                    yield from enter_chunk(data, *columns)
+                if not columns or not len(columns[0]):
+                    continue
+                whole, single = entries(data, *columns)
+                wholes.append(whole)
+                singles.append(single)
+                taken += len(whole[-1]) + 32 * len(single[0])
+                if taken >= CONTENT_BYTES:
+                    yield from flush(wholes, singles)
+                    wholes, singles, taken = [], [], 0
+        if wholes:
+            yield from flush(wholes, singles)
 
     return enter
 
 
-def _first_documents(length: int):
-    """Order the suffixes of the dictionary by their strings; answer where an earlier document has one."""
+def _first_documents(parts: int, length: int):
+    """Order the suffixes of the dictionary by their strings; answer where an earlier document has one.
+
+    Equal strings have equal keys, so the entries of a part are taken share by share of their keys.
+    """
 
-    def order(batches):
-        for doc, text, rows, start, size in _by_part(batches):
+    def solve(moved):
+        for doc, text, rows, start, size in _by_part(moved):
             key = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-            body = np.frombuffer(b"".join(r["content"] for r in rows), np.uint8)
+            body = np.frombuffer(
+                b"".join(zstandard.ZstdDecompressor().decompress(r["content"]) if r["content"] else b"" for r in rows),
+                np.uint8,
+            )
             width = np.where(size > 0, size + length - 1, 0)
-            at = np.concatenate(([0], np.cumsum(width)))[:-1]
-            count = np.maximum(size, 1)
-            step = ranges(np.zeros(len(size), np.int64), count)
-            entry = np.repeat(np.arange(len(size)), count)
-            string = key[entry]
-            inside = size[entry] > 0
-            if inside.any():
-                begin = at[entry[inside]] + step[inside]
-                string[inside] = Slices(body).hash(begin, begin + length)
-            least, _ = _least_per_key(string, doc[entry])
-            hit = doc[entry] > least
-            entry, step = entry[hit], step[hit]
-            yield _answer(doc[entry], text[entry], start[entry] + step, np.ones(len(entry), np.int64))
-
-    return order
-
-
-def _moved(df: DataFrame, parts: int, tasks: int) -> DataFrame:
-    rows = df.where("part is not null").select("part", "doc_ids", "texts", "counts", "keys", "starts", "sizes", "content")
-    return rows.repartitionById(tasks, F.col("part") % tasks)
-
-
-def _answers(df: DataFrame) -> DataFrame:
-    return df.where("part is null").select("doc_id", "text_hash", "starts", "sizes")
-
-
-def _per_document(found: DataFrame) -> DataFrame:
-    hit = F.struct("text_hash", "starts", "sizes")
-    return found.groupBy("doc_id").agg(F.collect_list(hit).alias("found"))
+            at = np.cumsum(width) - width
+            share = (mix(key) >> np.uint64(40)) % np.uint64(SHARES)
+            found = []
+            for n in range(SHARES):
+                own = np.flatnonzero(share == n)
+                count = np.maximum(size[own], 1)
+                entry = np.repeat(own, count)
+                step = ranges(np.zeros(len(own), np.int64), count)
+                string = key[entry]
+                inside = size[entry] > 0
+                if inside.any():
+                    mine = own[size[own] > 0]
+                    text_of = body[ranges(at[mine], width[mine])]
+                    begin = np.repeat(np.cumsum(width[mine]) - width[mine], size[mine]) + step[inside]
+                    string[inside] = Slices(text_of).hash(begin, begin + length)
+                least, _ = _least_per_key(string, doc[entry])
+                hit = doc[entry] > least
+                entry, step = entry[hit], step[hit]
+                place, runs_of = _joined(entry, step)
+                entry, step = entry[place], step[place]
+                found.append((doc[entry], text[entry], start[entry] + step, runs_of))
+            yield _answer(parts, *(np.concatenate(column) for column in zip(*found)))
+
+    return _meeting(solve)
+
+
+def _joined(entry: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the runs of neighbouring steps of one entry, and their lengths."""
+    fresh = np.ones(len(entry), bool)
+    fresh[1:] = (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)
+    first = np.flatnonzero(fresh)
+    return first, np.diff(np.append(first, len(entry)))
+
+
+def _meet(df: DataFrame, step, tasks: int) -> DataFrame:
+    """Entries and answers meet by part, then all answers by document: (doc_id, found)."""
+    solved = df.repartitionById(tasks, F.col("part")).mapInArrow(step, _PACKED)
+    return solved.repartitionById(tasks, F.col("part")).mapInArrow(_by_document, _FOUND)
 
 
 def find_repeats(
@@ -384,7 +439,6 @@ def find_repeats(
     ``kept`` and the removed runs as ``removed``, pairs of 64-bit numbers.
     """
     tasks = partitions(docs.sparkSession)
-    parts = tasks * PARTS_PER_TASK
     source = docs.select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.xxhash64(text_column).alias("text_hash"),
@@ -392,15 +446,13 @@ def find_repeats(
     )
     named = source.where("doc_id is not null")
     slots = docs.sparkSession.sparkContext.broadcast(frequent_slots(named, length, trigger))
-    parsed = named.mapInArrow(_parse(parts, length, trigger), _EITHER)
-    repeated = _moved(parsed, parts, tasks).mapInArrow(_repeated_triggers, _FOUND)
-    candidates = _per_document(_answers(parsed).unionByName(repeated))
+    parsed = named.mapInArrow(_parse(tasks, length, trigger), _PACKED)
+    candidates = _meet(parsed, _repeated_triggers(tasks), tasks)
     # Both joins read the documents from one exchange by id.
     entered = source.join(candidates.hint("shuffle_hash"), "doc_id", "left").mapInArrow(
-        _dictionary(parts, length, trigger, slots), _EITHER
+        _dictionary(tasks, length, trigger, slots), _PACKED
     )
-    first = _moved(entered, parts, tasks).mapInArrow(_first_documents(length), _FOUND)
-    repeats = _per_document(_answers(entered).unionByName(first))
+    repeats = _meet(entered, _first_documents(tasks, length), tasks)
     marked = source.join(repeats.hint("shuffle_hash"), "doc_id", "left")
     return marked.mapInArrow(
         _remove(length),
@@ -419,8 +471,8 @@ def _remove(length: int):
                 for row in range(low, high):
                     for hit in found[row].as_py() or ():
                         if hit["text_hash"] == texts[row]:
-                            start = _numbers(hit["starts"], "<u4").astype(np.int64) + offsets[row - low]
-                            size = _numbers(hit["sizes"], "<u2").astype(np.int64)
+                            start, size = _from_hits(hit["hits"])
+                            start = start + offsets[row - low]
                             np.add.at(edges, start, 1)
                             np.add.at(edges, start + size + length - 1, -1)
                 gone = np.cumsum(edges)[:-1] > 0
