@@ -128,7 +128,7 @@ def test_simhash_components_equal_brute_force(spark, docs, none):
     assert all(r.component_id == least[top(int(r.fingerprint, 16))] for r in found)
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == len(least)
+    assert kept.columns == docs.columns and kept.count() == len(set(least.values()))
     rng = np.random.default_rng(1)
     base = [int(rng.integers(1 << 62)) for _ in range(20)]
     near = {b ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))) for b in base for _ in range(9)} | set(base)
