@@ -219,8 +219,11 @@ def outline_kind(ext: Column) -> Column:
 
 
 def outline_dispatch(catalog: DataFrame, max_depth: int) -> DataFrame:
-    """``path, body``: the outline by extension, or a banner and the full content without one."""
-    known = catalog.filter(F.col("content").isNotNull())
+    """``path, body``: the outline by extension, or a banner and the full content without one.
+
+    Every row of the catalog has a body; a null content counts as empty.
+    """
+    known = catalog.withColumn("content", F.coalesce("content", F.lit("")))
     kind = outline_kind(F.col("ext"))
     by_token = outline_tokens(
         known.filter(kind.isin(MARKUP, *BRACKET_TOKEN)), "path", "content", kind, max_depth

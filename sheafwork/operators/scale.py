@@ -15,9 +15,6 @@ BROADCAST_BYTES = 64 << 20
 #: Keys with more rows than this are split over several tasks.
 HEAVY_ROWS = 1_000_000
 
-#: The heaviest keys are split, at most this many; any other has less than a 10,000th of the rows.
-MAX_HEAVY_KEYS = 10_000
-
 
 def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
     """Whether ``df`` may be broadcast, by its measured number of rows and bytes.
@@ -31,12 +28,8 @@ def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
 
 
 def _heavy_keys(counts: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Keys to split, with the number of parts, from the ``rows`` per key."""
-    heaviest = (
-        counts.filter(F.col("rows") > HEAVY_ROWS)
-        .orderBy(F.desc("rows"), *on)
-        .limit(MAX_HEAVY_KEYS)
-    )
+    """Keys to split, all of them, with the number of parts; there are at most rows / HEAVY_ROWS."""
+    heaviest = counts.filter(F.col("rows") > HEAVY_ROWS)
     return heaviest.select(*on, F.ceil(F.col("rows") / HEAVY_ROWS).cast("int").alias(name))
 
 

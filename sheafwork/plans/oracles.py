@@ -30,7 +30,7 @@ pages_cat AS (
            'html' AS ext, html AS content
     FROM page_paths)"""
 CONVERSATIONS = """conversations_cat AS (
-    SELECT conv_id || '/' || lpad(turn::VARCHAR, 3, '0') || '-' || role || '.md' AS path,
+    SELECT conv_id || '/' || printf('%03d', turn) || '-' || role || '.md' AS path,
            'md' AS ext, text AS content
     FROM conversations)"""
 EVENTS = """events_cat AS (

@@ -41,7 +41,7 @@ def page_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def conversation_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    turn = F.lpad(F.col("turn").cast("string"), 3, "0")
+    turn = F.format_string("%03d", F.col("turn"))
     path = F.concat("conv_id", F.lit("/"), turn, F.lit("-"), "role", F.lit(".md"))
     return table_catalog(read(spark, sf_dir, "conversations"), path, "text", **options)
 

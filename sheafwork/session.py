@@ -31,10 +31,14 @@ def build_session(app_name: str = "sheafwork", master: str | None = None, **conf
 def intermediate_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as on one machine in tests, a local temporary folder stands in.
+    Only where that is unset on one machine, as in tests, a local temporary folder stands in.  On a
+    cluster executors and driver would each see another one, so there it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_FOLDER, None)
+    shared = shared or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="sheafwork-")
         spark.conf.set(_OWN_FOLDER, shared)
     return shared.rstrip("/")
