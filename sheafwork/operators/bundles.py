@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import paths, text as texts
 from sheafwork.operators.outlines import outline_dispatch
-from sheafwork.operators.scale import running_totals
+from sheafwork.operators.scale import fits_broadcast, running_totals
 from sheafwork.operators.selection import attach_content
 from sheafwork.session import materialize, measured, with_size
 
@@ -52,8 +52,15 @@ def measure(bodies: DataFrame) -> DataFrame:
 
 
 def only_chosen(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """The catalog's rows for paths that some request chose; paths are unique on both sides."""
-    return catalog.join(files.select("path").distinct(), ["path"], "left_semi")
+    """The catalog's rows for paths that some request chose, where these measure small.
+
+    Otherwise the catalog as it is: the join that attaches its content drops the other rows, and to
+    look for them first would shuffle the content twice.
+    """
+    chosen = files.select("path").distinct()
+    if not fits_broadcast(chosen, bound=files):
+        return catalog
+    return catalog.join(F.broadcast(chosen), ["path"], "left_semi")
 
 
 def number_files(files: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -66,7 +73,7 @@ def number_files(files: DataFrame, sizes: DataFrame) -> DataFrame:
     order = [F.col("input_ord"), paths.path_order(F.col("path"))]
     totals = {"before": F.lit(1), "start_byte": F.col("block_bytes")}
     placed = running_totals(sized, ["request_id"], order, totals)
-    numbered = placed.withColumn("seq", (F.col("before") + 1).cast("int")).drop("before")
+    numbered = placed.withColumn("seq", (F.col("before") + 1).cast("bigint")).drop("before")
     return with_size(numbered, measured(placed))
 
 
@@ -107,7 +114,7 @@ def assemble_bundle(
     A bundle may be larger than a task can hold, so it is cut between blocks into parts of about
     ``part_bytes``; the parts one after the other are the bundle.
     """
-    part_no = F.expr(f"CAST(start_byte DIV {int(part_bytes)} AS INT)")
+    part_no = F.expr(f"CAST(start_byte DIV {int(part_bytes)} AS BIGINT)")
     placed = numbered.select("request_id", "seq", "path", part_no.alias("part_no"))
     markdown = F.expr("listagg(block, '') WITHIN GROUP (ORDER BY seq)")
     return (

@@ -34,9 +34,12 @@ class Resolution:
 
     def conflicts(self) -> DataFrame:
         """``input, tier, path, canonical_key`` of every match of the ambiguous inputs."""
-        found = matching.candidates(self.patterns, self.catalog, matching.SUBSTRING)
         several = self.outcomes.filter(F.col("status") == AMBIGUOUS).select("input")
-        return balanced_join(found, several, ["input"], how="left_semi", bound=self.outcomes)
+        patterns = balanced_join(
+            self.patterns, several, ["input"], how="left_semi", bound=self.outcomes
+        )
+        patterns = with_size(patterns, measured(self.patterns))
+        return matching.candidates(patterns, self.catalog, matching.SUBSTRING)
 
     def matches(self) -> DataFrame:
         """Every match of every request, those of ambiguous inputs included."""

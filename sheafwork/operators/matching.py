@@ -81,7 +81,7 @@ def match_substring(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
 def unmatched_inputs(requests: DataFrame, matches: DataFrame) -> DataFrame:
     """Requests' inputs without any row in ``matches``."""
     matched = matches.select("input").distinct()
-    return balanced_join(requests, matched, ["input"], how="left_anti", bound=requests)
+    return balanced_join(requests, matched, ["input"], how="left_anti", bound=matches)
 
 
 # --- patterns -----------------------------------------------------------------------------------

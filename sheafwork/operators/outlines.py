@@ -35,15 +35,20 @@ OPTIONAL_CLOSE = (
     "p li dt dd option optgroup tr td th thead tbody tfoot colgroup rp rt".split()
 )
 
-# A comment, a raw element with its text, a tag, or text.
+# A comment, a raw element with its text, a tag, or text.  What is not closed runs to the end of the
+# text, so that bad markup is read once and not again from each start; a tag does not end inside the
+# quotes of a value, and a < that no name, /, ! or ? follows is text.
+_IN_TAG = r"""[^>=]*+(?:=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+[^>=]*+)*+(?:>|\z)"""
+_RAW_ELEMENT = r"(?:[Ss][Cc][Rr][Ii][Pp][Tt]|[Ss][Tt][Yy][Ll][Ee])(?![A-Za-z0-9:-])"
 MARKUP_TOKEN = (
-    r"<!--[\s\S]*?-->"
-    r"|<(?i:script|style)(?:[ \t\r\n\f/][^>]*)?>[\s\S]*?</(?i:script|style)[^>]*>"
-    r"|<[^>]*>|[^<]+"
+    r"<!--[\s\S]*?(?:-->|\z)"
+    rf"|<{_RAW_ELEMENT}{_IN_TAG}[\s\S]*?(?:</{_RAW_ELEMENT}{_IN_TAG}|\z)"
+    rf"|<[A-Za-z/!?]{_IN_TAG}"
+    r"|(?:<(?![A-Za-z/!?])|[^<])[^<]*+(?:<(?![A-Za-z/!?])[^<]*+)*+"
 )
 
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
-_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?(?:\*/|\z)"
+_STRING = r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+(?:"|\\?\z)'
 _NUMBER_OR_WORD = r"\p{N}+\.\p{N}+|[\p{L}\p{N}_$]+"
 _OPERATOR = r"\.\.\.|\.\.=|\.\.|->|=>|::|&&|\|\||[=!<>]="
 _OTHER = r"[^\s\p{L}\p{N}_$]"
@@ -51,14 +56,14 @@ BRACKET_TOKEN = {
     # Raw strings; one character in single quotes, which a lifetime is not.
     BRACES: "|".join(
         (
-            r'r#"[\s\S]*?"#', _COMMENT, _STRING, r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'",
+            r'r#"[\s\S]*?(?:"#|\z)', _COMMENT, _STRING, r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'",
             r"'[\p{L}_][\p{L}\p{N}_]*", _NUMBER_OR_WORD, _OPERATOR, _OTHER,
         )
     ),
     SCRIPT: "|".join(
         (
             _COMMENT, _STRING, r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'",
-            r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", _NUMBER_OR_WORD, _OPERATOR, _OTHER,
+            r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+(?:`|\\?\z)", _NUMBER_OR_WORD, _OPERATOR, _OTHER,
         )
     ),
     DATA: "|".join((_STRING, _NUMBER_OR_WORD, _OTHER)),
@@ -69,13 +74,14 @@ BRACKET_TOKEN = {
 
 
 def _is_text(token: Column) -> Column:
-    return ~F.startswith(token, F.lit("<"))
+    return ~F.rlike(token, F.lit(r"\A<[A-Za-z/!?]"))
 
 
 def markup_delta(token: Column) -> Column:
     """+1 for a tag that opens a level, -1 for one that closes it, 0 for everything else."""
-    name = F.lower(F.regexp_extract(token, r"\A</?([A-Za-z][A-Za-z0-9:-]*)[^>]*>\z", 1))
-    level = (name != "") & ~name.isin(*VOID_ELEMENTS, *OPTIONAL_CLOSE)
+    name = F.lower(F.regexp_extract(token, r"\A</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+    whole = name.isin("script", "style") & ~F.startswith(token, F.lit("</"))
+    level = (name != "") & ~whole & ~name.isin(*VOID_ELEMENTS, *OPTIONAL_CLOSE)
     return (
         F.when(~level | F.endswith(token, F.lit("/>")), F.lit(0))
         .when(F.startswith(token, F.lit("</")), F.lit(-1))

@@ -55,7 +55,7 @@ def _lines(rows: DataFrame, section_no: int, section: str, text: Column, line_no
         F.lit(section_no).alias("section_no"),
         F.lit(section).alias("section"),
         "input_ord",
-        line_no.cast("int").alias("line_no"),
+        line_no.cast("bigint").alias("line_no"),
         text.alias("text"),
     )
 

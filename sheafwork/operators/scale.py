@@ -15,6 +15,9 @@ BROADCAST_BYTES = 64 << 20
 #: Keys with more rows than this are split over several tasks.
 HEAVY_ROWS = 1_000_000
 
+#: Rows per range of a running total, about.
+RANGE_ROWS = 1_000_000
+
 
 def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
     """Whether ``df`` may be broadcast, by its measured number of rows and bytes.
@@ -104,15 +107,19 @@ def running_totals(
     """Add, per group and in order, the running total of each of ``totals`` before the row.
 
     A window over the whole group would put a large group into one task.  Here the rows are
-    first cut into ranges of (group, order); a range holds a bounded number of rows, the totals
-    per range are few, and each row's result is the total of the ranges before it plus the
-    running total inside its range.  The order must be total within a group.
+    first cut into ranges of (group, order), each row's result is the total of the ranges before
+    it plus the running total inside its range.  The number of ranges follows from the measured
+    rows of ``df`` and is never below the number of shuffle partitions, so a range holds about
+    ``RANGE_ROWS`` at most; the totals per range are few.  The order must be total within a group.
     """
     names = list(totals)
     keys = [F.col(g) for g in group]
     ranged = df.select("*", *[value.alias(f"_{n}") for n, value in totals.items()])
+    size = measured(df)
+    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(at_least, -(-size.rows // RANGE_ROWS) if size else 0)
     ranged = materialize(
-        ranged.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()),
+        ranged.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()),
         "ranges",
     )
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(

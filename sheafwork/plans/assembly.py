@@ -45,16 +45,14 @@ def assemble(
 ) -> Assembly:
     """Resolve the requests, choose their files and measure them.
 
-    Content is read twice, once for the sizes and once for the blocks, and only for files of
-    requests that passed; that is less than to carry it through the numbering.  Outlines are
-    dearer, so they are written once.
+    Content is read twice, once for the sizes and once for the blocks; that is less than to carry it
+    through the numbering.  Outlines are dearer, so they are written once.  Where the files of the
+    requests that passed measure small, only their content goes beyond the scan (``only_chosen``).
     """
     resolution = resolve(requests, catalog, root)
     chosen = materialize(selection.chosen_files(resolution), "chosen-files")
-    if max_depth is None:
-        bodies = bundles.content_or_error(catalog)
-    else:
-        outlined = bundles.content_or_error(bundles.only_chosen(catalog, chosen), max_depth)
-        bodies = materialize(outlined, "outlines")
+    bodies = bundles.content_or_error(bundles.only_chosen(catalog, chosen), max_depth)
+    if max_depth is not None:
+        bodies = materialize(bodies, "outlines")
     files = bundles.number_files(chosen, bundles.measure(bodies))
     return Assembly(resolution, files, bodies, max_depth)

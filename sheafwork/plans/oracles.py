@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheafwork.functions.text import WHITE_SPACE
 from sheafwork.operators.outlines import OPTIONAL_CLOSE, VOID_ELEMENTS
-from sheafwork.plans.queries import DEPTH, PART_BYTES, ROOT
+from sheafwork.plans.queries import BRACKET_LEVELS, DEPTH, PART_BYTES, ROOT
 
 SPACE = " || ".join(f"chr({ord(c)})" for c in WHITE_SPACE)
 NEWLINE = "chr(10)"
@@ -18,7 +18,7 @@ def _with(*ctes: str) -> str:
 
 DOCUMENTS = """documents_cat AS (
     SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, 'txt' AS ext,
-           text AS content, n_chars
+           text AS content, lang
     FROM documents)"""
 PAGES = """page_paths AS (
     SELECT page_id, html,
@@ -50,17 +50,25 @@ _UNNEST = """SELECT request_id, (generate_subscripts(inputs, 1) - 1)::INTEGER AS
 MIXED_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (
         SELECT doc_id AS request_id, CASE lang
-            WHEN 'en' THEN [source || '/en/' || doc_id || '.txt', source || '/en',
+            WHEN 'en' THEN [source || '/en/' || doc_id || '.txt',
+                            './' || source || '/en/' || doc_id || '.txt',
                             source || '/*/' || doc_id || '.t?t', '*/en/' || doc_id || '*.txt',
                             source || '/[!d]?/' || doc_id || '.txt', 'en/' || doc_id || '.t']
-            WHEN 'fr' THEN ['./' || source || '/fr/', '**/' || doc_id || '.txt',
+            WHEN 'fr' THEN ['./' || source || '/fr/' || doc_id || '.txt', '**/' || doc_id || '.txt',
                             'fr/' || doc_id || '.', 'zzz' || doc_id]
-            WHEN 'de' THEN [source || '/de', '/' || doc_id, 'no/such/' || doc_id]
+            WHEN 'de' THEN [source || '/de/' || doc_id || '.txt', '/' || doc_id,
+                            'no/such/' || doc_id]
             ELSE [source || '/' || lang || '/' || doc_id || '.txt', source || '/[' || doc_id,
                   '{{' || source || ',x}}/' || doc_id, doc_id || '.txt',
                   source || '/' || lang || '/' || doc_id || '.txt']
             END AS inputs
-        FROM documents))"""
+        FROM documents
+        UNION ALL
+        SELECT -1 - min(doc_id), CASE
+            WHEN lang = 'en' THEN [source || '/en', './' || source || '/en/']
+            ELSE [source || '/' || lang, './' || source || '/' || lang || '/',
+                  'zzz' || source || '/' || lang] END
+        FROM documents GROUP BY source, lang))"""
 DIRECTORY_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (
         SELECT min(doc_id) AS request_id, [source || '/' || lang, source] AS inputs
@@ -201,7 +209,7 @@ lines AS (
     SELECT request_id, 6, '', -1, 0, 'Please resolve the issues above and try again.'
     FROM gate WHERE NOT passed)
 SELECT request_id, section_no::INTEGER AS section_no, section, input_ord::INTEGER AS input_ord,
-       line_no::INTEGER AS line_no, text
+       line_no::BIGINT AS line_no, text
 FROM lines"""
 
 # --- bundles ------------------------------------------------------------------------------------
@@ -242,7 +250,7 @@ CONTENT_BODIES = "SELECT path, ext AS hint, content AS body FROM cat"
 
 def _parts(batch: str, bodies: str) -> str:
     return f"""{batch}, {_numbered(bodies)}
-SELECT request_id, (start_byte // {PART_BYTES})::INTEGER AS part_no, count(*) AS n_files,
+SELECT request_id, (start_byte // {PART_BYTES})::BIGINT AS part_no, count(*) AS n_files,
        string_agg(block, '' ORDER BY seq) AS markdown
 FROM placed GROUP BY ALL"""
 
@@ -257,7 +265,7 @@ FROM placed GROUP BY request_id"""
 
 def _manifest(batch: str, bodies: str, label: str, metric: str, unit: str) -> str:
     return f"""{batch}, {_numbered(bodies)}
-SELECT request_id, seq::INTEGER AS seq, {label} AS label, {metric}::BIGINT AS metric, '{unit}' AS unit
+SELECT request_id, seq::BIGINT AS seq, {label} AS label, {metric}::BIGINT AS metric, '{unit}' AS unit
 FROM placed"""
 
 
@@ -306,9 +314,21 @@ OUTLINE_BODIES = "SELECT doc_id AS path, '' AS hint, outline AS body FROM outlin
 
 # Level 0 holds the braces, level 1 what is between them; brackets inside are not in the data.
 _JSON_TOKEN = '"[^"]*"|\\p{N}+\\.\\p{N}+|[\\p{L}\\p{N}_$]+|[^\\s\\p{L}\\p{N}_$]'
-EVENT_OUTLINES = f"""
-SELECT event_id AS doc_id, array_to_string(regexp_extract_all(props, '{_JSON_TOKEN}'), ' ') AS outline
-FROM events"""
+EVENT_OUTLINES = f"""WITH nested AS (
+    SELECT event_id, '{{"at":[{{"id":' || event_id || ',"props":' || props || '}}],"type":"'
+           || event_type || '"}}' AS content
+    FROM events),
+tokens AS (
+    SELECT event_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS ord
+    FROM (SELECT event_id, regexp_extract_all(content, '{_JSON_TOKEN}') AS toks FROM nested)),
+levels AS (
+    SELECT *, sum(CASE WHEN tok IN ('{{', '[') THEN 1 WHEN tok IN ('}}', ']') THEN -1 ELSE 0 END)
+              OVER (PARTITION BY event_id ORDER BY ord ROWS UNBOUNDED PRECEDING)
+              - CASE WHEN tok IN ('{{', '[') THEN 1 ELSE 0 END AS level
+    FROM tokens)
+SELECT event_id AS doc_id, max_level, string_agg(tok, ' ' ORDER BY ord) AS outline
+FROM levels JOIN (SELECT unnest({list(BRACKET_LEVELS)})::INTEGER AS max_level) ON level <= max_level
+GROUP BY event_id, max_level"""
 
 
 def _indented(docs: str) -> str:
@@ -339,13 +359,13 @@ UNION ALL
 
 CONTENT_OR_ERROR = f"""{_with(DOCUMENTS)}
 SELECT path, hint, outlined, CASE
-    WHEN n_chars < 200 THEN 'Error: Could not read file content for "' || path || '".' || {NEWLINE}
-        || 'Details: unexpected end of file'
+    WHEN lang = 'de' THEN 'Error: Could not read file content for "' || path || '".' || {NEWLINE}
+        || 'Details: stream did not contain valid UTF-8'
     ELSE body END AS body
 FROM (
-    SELECT path, 'txt' AS hint, false AS outlined, content AS body, n_chars FROM documents_cat
+    SELECT path, 'txt' AS hint, false AS outlined, content AS body, lang FROM documents_cat
     UNION ALL
-    SELECT path, '', true, body, n_chars
+    SELECT path, '', true, body, lang
     FROM ({_fallback("documents_cat")}) JOIN documents_cat USING (path))"""
 
 # --- scalar functions ---------------------------------------------------------------------------

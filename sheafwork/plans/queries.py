@@ -18,6 +18,7 @@ from sheafwork.sources.sinks import write_bundles
 ROOT = "/data"
 PART_BYTES = 1 << 16
 DEPTH = 4
+BRACKET_LEVELS = (1, 3, 99)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -144,12 +145,8 @@ def fence_block_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_or_error_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of less than 200 characters stand for files that could not be read."""
-    catalog = tables.document_catalog(
-        spark,
-        sf_dir,
-        read_error=F.when(F.col("n_chars") < 200, F.lit("unexpected end of file")),
-    )
+    """German documents get a byte that UTF-8 does not have, so that their text cannot be read."""
+    catalog = tables.damaged_catalog(spark, sf_dir)
     return union_all(
         *[
             bundles.content_or_error(catalog, depth).withColumn("outlined", F.lit(depth is not None))
@@ -287,7 +284,20 @@ def outline_markup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outline_brackets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlines.outline_brackets(tables.read(spark, sf_dir, "events"), "event_id", "props", 1)
+    """Events as nested JSON, with their properties at level 4, cut at several levels."""
+    nested = F.concat(
+        F.lit('{"at":[{"id":'), "event_id", F.lit(',"props":'), "props",
+        F.lit('}],"type":"'), "event_type", F.lit('"}'),
+    )
+    events = tables.read(spark, sf_dir, "events").select("event_id", nested.alias("nested"))
+    return union_all(
+        *[
+            outlines.outline_brackets(events, "event_id", "nested", level).withColumn(
+                "max_level", F.lit(level)
+            )
+            for level in BRACKET_LEVELS
+        ]
+    )
 
 
 def outline_indent_query(spark: SparkSession, sf_dir: str) -> DataFrame:

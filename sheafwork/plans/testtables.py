@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sheafwork.functions import paths
+from sheafwork.functions.text import NOT_UTF8
 from sheafwork.sources.tables import request_batch, table_catalog
 
 
@@ -30,6 +31,17 @@ def document_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return table_catalog(read(spark, sf_dir, "documents"), document_path(), "text", **options)
 
 
+def damaged_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as bytes, the German ones with one that is not UTF-8, read as text again."""
+    damage = F.when(F.col("lang") == "de", F.lit(b"\xff")).otherwise(F.lit(b""))
+    data = F.concat(F.col("text").cast("binary"), damage)
+    documents = read(spark, sf_dir, "documents").withColumn(
+        "text", F.try_validate_utf8(data.cast("string"))
+    )
+    unreadable = F.when(F.col("text").isNull(), F.lit(NOT_UTF8))
+    return table_catalog(documents, document_path(), "text", read_error=unreadable)
+
+
 def page_catalog(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return table_catalog(
         read(spark, sf_dir, "pages"),
@@ -72,7 +84,11 @@ def directory_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per document, with inputs of every tier and, but for English, of every fault."""
+    """Requests with inputs of every tier and, but for English documents, of every fault.
+
+    One request per document, whose inputs select few paths each, and one per source and language,
+    with a negative id, which asks for that directory.  So the matches grow with the documents.
+    """
     doc_id = F.col("doc_id").cast("string")
     source, path, lang = F.col("source"), document_path(), F.col("lang")
 
@@ -81,19 +97,19 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     english = F.array(
         path,
-        text(source, "/en"),
+        text("./", path),
         text(source, "/*/", doc_id, ".t?t"),
         text("*/en/", doc_id, "*.txt"),
         text(source, "/[!d]?/", doc_id, ".txt"),
         text("en/", doc_id, ".t"),
     )
     french = F.array(
-        text("./", source, "/fr/"),
+        text("./", path),
         text("**/", doc_id, ".txt"),
         text("fr/", doc_id, "."),
         text("zzz", doc_id),
     )
-    german = F.array(text(source, "/de"), text("/", doc_id), text("no/such/", doc_id))
+    german = F.array(path, text("/", doc_id), text("no/such/", doc_id))
     other = F.array(
         path,
         text(source, "/[", doc_id),
@@ -107,7 +123,18 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(lang == "de", german)
         .otherwise(other)
     )
-    return request_batch(read(spark, sf_dir, "documents"), "doc_id", inputs)
+    documents = read(spark, sf_dir, "documents")
+    directory = F.concat_ws("/", "source", "lang")
+    asked = F.array(directory, text("./", directory, "/"))
+    directories = documents.groupBy("source", "lang").agg(F.min("doc_id").alias("least")).select(
+        (-1 - F.col("least")).alias("doc_id"),
+        F.when(lang == "en", asked)
+        .otherwise(F.concat(asked, F.array(text("zzz", directory))))
+        .alias("inputs"),
+    )
+    return request_batch(
+        documents.select("doc_id", inputs.alias("inputs")).unionByName(directories), "doc_id", "inputs"
+    )
 
 
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

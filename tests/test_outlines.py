@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from conftest import rows_of
@@ -112,6 +113,25 @@ def test_nesting_depth_of_broken_markup(spark):
     ]
 
 
+def test_quoted_values_and_bare_signs(spark):
+    page = "<i title='a > b'>1 < 2 and <3</i><a href=x>y</a> <"
+    assert outline(spark, page, markup, 1) == "1 < 2 and <3 y <"
+    assert outline(spark, "a <!-- b <i>c", markup, 1) == "a"
+    assert outline(spark, "a <b title='c", markup, 1) == "a"
+
+
+@pytest.mark.parametrize("piece", ["<!--a", "<script>", "<script ", "<", "<a ", "<a b='", "/*", '"\\"', "`\\"])
+def test_a_megabyte_of_what_is_never_closed_ends(spark, piece):
+    text = piece * (1_000_000 // len(piece))
+
+    def script(df, level):
+        return o.outline_brackets(df, "id", "text", level, o.SCRIPT)
+
+    start = time.monotonic()
+    outline(spark, text, script if piece[0] in '/"`' else markup, 3)
+    assert time.monotonic() - start < 20
+
+
 CODE = "import a\n\nclass B:\n    def c(self):\n        if x:\n            pass\n    d = 1\n"
 
 
