@@ -139,14 +139,16 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     text stands as the next document for others; each row is compared with its own next one.  A
     row without an id has no next document: its edited text is its text, ``near_next`` is 0.
     """
+    # Under its own name an id would lose its alias in one of the two joins with the texts below,
+    # and they would not share one exchange.
     source = docs.select(
-        F.col(id_column).cast("bigint").alias("doc_id"),
+        F.col(id_column).cast("bigint").alias("document"),
         F.coalesce(F.col(text_column), F.lit("")).alias("text"),
     )
     inside = _in_lexicon(lexicon(source))
     third = F.floor(F.length("text") / 3).cast("int")
-    named = source.where("doc_id is not null")
-    ids = named.groupBy("doc_id").agg(
+    named = source.where("document is not null")
+    ids = named.groupBy(F.col("document").alias("doc_id")).agg(
         F.max(F.xxhash64("text")).alias("chosen"), F.max(third).alias("needed")
     )
     order = shared(next_smaller(ids, "doc_id", ["needed", "chosen"]), "order")
@@ -154,24 +156,25 @@ def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: s
     # nothing; a filter would become a join key, and the two joins would not share one exchange.
     follows = order.select(
         F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("needed").alias("handed")
-    ).join(order.select("doc_id", "chosen"), "doc_id")
+    ).join(order.select("doc_id", "chosen"), "doc_id").withColumnRenamed("doc_id", "document")
     head = F.when(F.xxhash64("text") == F.col("chosen"), F.expr("substring(text, 1, handed)"))
     heads = (
-        named.join(follows.hint("shuffle_hash"), "doc_id")
+        named.join(follows.hint("shuffle_hash"), "document")
         .select(F.col("before").alias("doc_id"), head.alias("head"))
         .groupBy("doc_id").agg(F.max("head").alias("head"))
     )
     neighbours = heads.join(order.select("doc_id", "next_id"), "doc_id")
-    joined = named.join(neighbours.hint("shuffle_hash"), "doc_id").unionByName(
-        source.where("doc_id is null").select(
-            "doc_id", "text", F.expr("right(text, cast(floor(length(text) / 3) as int))").alias("head"),
+    neighbours = neighbours.withColumnRenamed("doc_id", "document")
+    joined = named.join(neighbours.hint("shuffle_hash"), "document").unionByName(
+        source.where("document is null").select(
+            "document", "text", F.expr("right(text, cast(floor(length(text) / 3) as int))").alias("head"),
             F.lit(None).cast("bigint").alias("next_id"),
         )
     )
     kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))")
     edited = F.concat(kept, F.substring("head", F.lit(1), third))
     texts = joined.select(
-        "doc_id", "next_id", F.xxhash64("text").alias("text_hash"), F.length("text").cast("bigint").alias("n_chars"),
+        F.col("document").alias("doc_id"), "next_id", F.xxhash64("text").alias("text_hash"), F.length("text").cast("bigint").alias("n_chars"),
         "text", edited.alias("edited"),
     )
     printed = shared(
