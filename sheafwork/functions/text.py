@@ -55,7 +55,10 @@ def trim_both(text: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """``text`` in double quotes, with quotes, backslashes and control characters escaped."""
+    """``text`` in double quotes, with quotes, backslashes and control characters escaped.
+
+    Control characters without a short form become ``\\u{...}`` with their code in hexadecimal.
+    """
     for raw, escaped in (
         ("\\", "\\\\"),
         ('"', '\\"'),
@@ -65,6 +68,10 @@ def quoted(text: Column) -> Column:
         ("\x00", "\\0"),
     ):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
+    spelled = text
+    for code in (*range(1, 9), 11, 12, *range(14, 32), *range(127, 160)):
+        spelled = F.replace(spelled, F.lit(chr(code)), F.lit(f"\\u{{{code:x}}}"))
+    text = F.when(F.rlike(text, F.lit(r"[\x01-\x1f\x7f-\x9f]")), spelled).otherwise(text)
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 

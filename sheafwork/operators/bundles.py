@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import paths, text as texts
 from sheafwork.operators.outlines import outline_dispatch
-from sheafwork.operators.scale import fits_broadcast, running_totals
+from sheafwork.operators.scale import fits_broadcast, possibly_in, running_totals
 from sheafwork.operators.selection import attach_content
 from sheafwork.session import materialize, measured, with_size
 
@@ -52,14 +52,14 @@ def measure(bodies: DataFrame) -> DataFrame:
 
 
 def only_chosen(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    """The catalog's rows for paths that some request chose, where these measure small.
+    """The catalog's rows for paths that some request chose, found without a shuffle of content.
 
-    Otherwise the catalog as it is: the join that attaches its content drops the other rows, and to
-    look for them first would shuffle the content twice.
+    Where the chosen paths do not measure small they go into a filter by hash, which lets few others
+    pass; those are dropped by the join that attaches the content.
     """
     chosen = files.select("path").distinct()
     if not fits_broadcast(chosen, bound=files):
-        return catalog
+        return possibly_in(catalog, chosen, "path")
     return catalog.join(F.broadcast(chosen), ["path"], "left_semi")
 
 

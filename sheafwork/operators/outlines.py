@@ -2,18 +2,19 @@
 
 Text is cut into tokens, each token gets a depth, tokens that are too deep are dropped, and the
 rest is joined.  For markup and brackets the depth is a running sum over the document's tokens.
-Documents are partitioned by their id before they are cut into tokens, so the shuffle carries
-the text once, and the running sum and the join of tokens need no other.  The levels of brackets
-and indents are not those of a syntax tree, hence ``max_level``.
+All of it is column functions on the document's row, so no text is shuffled and rows with the same
+id stay apart.  The levels of brackets and indents are not those of a syntax tree, hence ``max_level``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import text as texts
 from sheafwork.functions.binding import bind
-from sheafwork.operators.scale import union_all
+
+#: Values per slice of a running sum.
+SLICE = 256
 
 MARKUP, BRACES, SCRIPT, DATA, INDENTED, UNSUPPORTED = (
     "markup", "braces", "script", "data", "indented", "unsupported",
@@ -79,14 +80,17 @@ def _is_text(token: Column) -> Column:
 
 def markup_delta(token: Column) -> Column:
     """+1 for a tag that opens a level, -1 for one that closes it, 0 for everything else."""
-    name = F.lower(F.regexp_extract(token, r"\A</?([A-Za-z][A-Za-z0-9:-]*)", 1))
-    whole = name.isin("script", "style") & ~F.startswith(token, F.lit("</"))
-    level = (name != "") & ~whole & ~name.isin(*VOID_ELEMENTS, *OPTIONAL_CLOSE)
-    return (
-        F.when(~level | F.endswith(token, F.lit("/>")), F.lit(0))
-        .when(F.startswith(token, F.lit("</")), F.lit(-1))
-        .otherwise(F.lit(1))
-    )
+
+    def delta(name: Column) -> Column:
+        whole = name.isin("script", "style") & ~F.startswith(token, F.lit("</"))
+        level = (name != "") & ~whole & ~name.isin(*VOID_ELEMENTS, *OPTIONAL_CLOSE)
+        return (
+            F.when(~level | F.endswith(token, F.lit("/>")), F.lit(0))
+            .when(F.startswith(token, F.lit("</")), F.lit(-1))
+            .otherwise(F.lit(1))
+        )
+
+    return bind(F.lower(F.regexp_extract(token, r"\A</?([A-Za-z][A-Za-z0-9:-]*)", 1)), delta)
 
 
 def bracket_delta(token: Column) -> Column:
@@ -98,72 +102,137 @@ def bracket_delta(token: Column) -> Column:
     )
 
 
-def tokenize(df: DataFrame, doc_id: str, text: str, kind: Column) -> DataFrame:
-    """``doc_id, kind, ord, tok, delta``, partitioned by document.
-
-    A document without any token keeps one row, with a NULL token.
-    """
-    placed = df.select(F.col(doc_id).alias("doc_id"), kind.alias("kind"), F.col(text).alias("text"))
-    placed = placed.repartition("doc_id")
+def token_array(text: Column, kind: Column) -> Column:
+    """The tokens of a text; NULL for a NULL text and for a kind that has none."""
     patterns = {MARKUP: MARKUP_TOKEN, **BRACKET_TOKEN}
-    tokens = F.coalesce(
+    return F.coalesce(
         *[
-            F.when(F.col("kind") == name, F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+            F.when(kind == name, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
             for name, pattern in patterns.items()
         ]
     )
-    rows = placed.select("doc_id", "kind", F.posexplode_outer(tokens).alias("ord", "tok"))
-    delta = F.when(F.col("kind") == MARKUP, markup_delta(F.col("tok"))).otherwise(
-        bracket_delta(F.col("tok"))
+
+
+def running_sum(values: Column) -> Column:
+    """The running sums of an array of integers.
+
+    To append to an array copies it, so the sums are made inside slices of ``SLICE`` values, then
+    over the totals of the slices.
+    """
+
+    def sums(array: Column) -> Column:
+        return F.aggregate(
+            array,
+            F.array().cast("array<int>"),
+            lambda done, value: F.array_append(
+                done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + value
+            ),
+        )
+
+    def shifted(slices: Column) -> Column:
+        totals = sums(F.transform(slices, lambda part: F.element_at(part, -1)))
+        return bind(
+            totals,
+            lambda totals: F.flatten(
+                F.transform(
+                    slices,
+                    lambda part, i: bind(
+                        F.coalesce(F.get(totals, i - 1), F.lit(0)),
+                        lambda before: F.transform(part, lambda value: value + before),
+                    ),
+                )
+            ),
+        )
+
+    def summed(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), F.lit(SLICE))
+        slices = F.transform(starts, lambda start: sums(F.slice(values, start, SLICE)))
+        none = F.array().cast("array<int>")
+        return F.when(F.size(values) > 0, bind(slices, shifted)).otherwise(none)
+
+    return bind(values, summed)
+
+
+def token_nodes(tokens: Column, kind: Column) -> Column:
+    """``depth, is_leaf, tok`` of each token of an array, see ``nesting_depth``."""
+    markup = kind == MARKUP
+
+    def marked(tok: Column) -> Column:
+        delta = F.when(markup, markup_delta(tok)).otherwise(bracket_delta(tok))
+        leaf = F.when(markup, _is_text(tok)).otherwise(F.lit(True))
+        return F.struct(tok.alias("tok"), delta.alias("delta"), leaf.alias("is_leaf"))
+
+    def node(token: Column, level: Column) -> Column:
+        depth = (
+            F.when(markup & token.is_leaf, level + 1)
+            .when(~markup & (token.delta == 1), level - 1)
+            .otherwise(level)
+        )
+        return F.struct(
+            depth.alias("depth"), token.is_leaf.alias("is_leaf"), token.tok.alias("tok")
+        )
+
+    def placed(tokens: Column) -> Column:
+        levels = running_sum(F.transform(tokens, lambda token: token.delta))
+        return F.zip_with(tokens, levels, node)
+
+    return bind(F.transform(tokens, marked), placed)
+
+
+def joined_leaves(nodes: Column, kind: Column, max_depth: int) -> Column:
+    """The leaves within the limit, trimmed and joined, see ``join_tokens``."""
+    limit = F.when(kind == MARKUP, F.lit(max_depth + 1)).otherwise(F.lit(max_depth))
+    within = F.filter(nodes, lambda node: node.is_leaf & (node.depth <= limit))
+    trimmed = F.transform(within, lambda node: texts.trim_both(node.tok))
+    outline = F.array_join(F.filter(trimmed, lambda leaf: leaf != ""), " ")
+    return bind(
+        outline,
+        lambda outline: F.when(outline != "", outline).otherwise(F.lit(texts.NO_STRUCTURE)),
     )
-    return rows.withColumn("delta", F.coalesce(delta, F.lit(0)))
+
+
+def tokenize(df: DataFrame, doc_id: str, text: str, kind: Column) -> DataFrame:
+    """``doc_id, kind, tokens``: the tokens of each document, NULL for a NULL text."""
+    placed = df.select(F.col(doc_id).alias("doc_id"), kind.alias("kind"), F.col(text).alias("text"))
+    tokens = token_array(F.col("text"), F.col("kind"))
+    return placed.select("doc_id", "kind", tokens.alias("tokens"))
 
 
 def nesting_depth(tokens: DataFrame) -> DataFrame:
-    """``doc_id, kind, ord, depth, is_leaf, tok``.
+    """``doc_id, kind, ord, depth, is_leaf, tok`` of the documents of ``tokenize``.
 
     The document is depth 0.  A tag has the depth of its element, text is one deeper than the
-    element it is in.  A bracket has the level it stands in, not the one it opens.
+    element it is in.  A bracket has the level it stands in, not the one it opens.  A document
+    without any token keeps one row, with a NULL token.
     """
-    so_far = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    markup = F.col("kind") == MARKUP
-    leaf = F.when(markup, _is_text(F.col("tok"))).otherwise(F.col("tok").isNotNull())
-    leaf = F.coalesce(leaf, F.lit(False))
-    summed = tokens.withColumn("level", F.sum("delta").over(so_far))
-    depth = (
-        F.when(markup & leaf, F.col("level") + 1)
-        .when(~markup & (F.col("delta") == 1), F.col("level") - 1)
-        .otherwise(F.col("level"))
-    )
-    return summed.select(
-        "doc_id", "kind", "ord", depth.cast("int").alias("depth"), leaf.alias("is_leaf"), "tok"
+    nodes = token_nodes(F.col("tokens"), F.col("kind"))
+    rows = tokens.select("doc_id", "kind", F.posexplode_outer(nodes).alias("ord", "node"))
+    return rows.select(
+        "doc_id",
+        "kind",
+        "ord",
+        F.coalesce("node.depth", F.lit(0)).alias("depth"),
+        F.coalesce("node.is_leaf", F.lit(False)).alias("is_leaf"),
+        "node.tok",
     )
 
 
-def join_tokens(nodes: DataFrame, max_depth: int) -> DataFrame:
+def join_tokens(tokens: DataFrame, max_depth: int) -> DataFrame:
     """``doc_id, outline``: the leaves within the limit, trimmed and joined by one space.
 
     Text leaves of markup are one deeper than their element, so they may be at
-    ``max_depth + 1``.  A document of which nothing is left keeps a row.
+    ``max_depth + 1``.  Every document of ``tokenize`` keeps its row, also if nothing is left.
     """
-    limit = F.when(F.col("kind") == MARKUP, F.lit(max_depth + 1)).otherwise(F.lit(max_depth))
-    trimmed = texts.trim_both(F.col("tok"))
-    kept = F.col("is_leaf") & (F.col("depth") <= limit) & (trimmed != "")
-    rows = nodes.select("doc_id", "ord", F.when(kept, trimmed).alias("tok"))
-    rows = rows.filter("tok IS NOT NULL OR coalesce(ord, 0) = 0")
-    joined = F.expr("listagg(tok, ' ') WITHIN GROUP (ORDER BY ord)")
-    return rows.groupBy("doc_id").agg(
-        F.coalesce(joined, F.lit(texts.NO_STRUCTURE)).alias("outline")
-    )
+    kind = F.col("kind")
+    outline = joined_leaves(token_nodes(F.col("tokens"), kind), kind, max_depth)
+    return tokens.select("doc_id", F.coalesce(outline, F.lit(texts.NO_STRUCTURE)).alias("outline"))
 
 
 # --- outlines -----------------------------------------------------------------------------------
 
 
 def outline_tokens(df: DataFrame, doc_id: str, text: str, kind: Column, max_depth: int):
-    return join_tokens(nesting_depth(tokenize(df, doc_id, text, kind)), max_depth)
+    return join_tokens(tokenize(df, doc_id, text, kind), max_depth)
 
 
 def outline_markup(df: DataFrame, doc_id: str, html: str, max_depth: int) -> DataFrame:
@@ -229,15 +298,16 @@ def outline_dispatch(catalog: DataFrame, max_depth: int) -> DataFrame:
 
     Every row of the catalog has a body; a null content counts as empty.
     """
-    known = catalog.withColumn("content", F.coalesce("content", F.lit("")))
-    kind = outline_kind(F.col("ext"))
-    by_token = outline_tokens(
-        known.filter(kind.isin(MARKUP, *BRACKET_TOKEN)), "path", "content", kind, max_depth
-    )
-    by_row = known.filter(kind.isin(INDENTED, UNSUPPORTED)).select(
+    kind, content = F.col("kind"), F.col("content")
+    known = catalog.select(
         "path",
-        F.when(kind == INDENTED, indent_outline(F.col("content"), max_depth))
-        .otherwise(texts.fallback_text(F.col("path"), F.col("ext"), F.col("content")))
-        .alias("body"),
+        "ext",
+        F.coalesce("content", F.lit("")).alias("content"),
+        outline_kind(F.col("ext")).alias("kind"),
+    )
+    body = (
+        F.when(kind == UNSUPPORTED, texts.fallback_text(F.col("path"), F.col("ext"), content))
+        .when(kind == INDENTED, indent_outline(content, max_depth))
+        .otherwise(joined_leaves(token_nodes(token_array(content, kind), kind), kind, max_depth))
     )
-    return union_all(by_token.select(F.col("doc_id").alias("path"), F.col("outline").alias("body")), by_row)
+    return known.select("path", body.alias("body"))

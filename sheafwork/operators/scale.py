@@ -15,9 +15,17 @@ BROADCAST_BYTES = 64 << 20
 #: Keys with more rows than this are split over several tasks.
 HEAVY_ROWS = 1_000_000
 
+#: So many heavy keys may be broadcast.
+HEAVY_KEYS = 500_000
+
 #: Rows per range of a running total, about.
 RANGE_ROWS = 1_000_000
 
+#: A filter by hash has so many maps of 2^15 bits: 16 MB at most.
+FILTER_MAPS = 4096
+MAP_SHIFT = 15
+MAP_BITS = 1 << MAP_SHIFT
+
 
 def fits_broadcast(df: DataFrame, bound: DataFrame | None = None) -> bool:
     """Whether ``df`` may be broadcast, by its measured number of rows and bytes.
@@ -36,9 +44,22 @@ def _heavy_keys(counts: DataFrame, on: list[str], name: str) -> DataFrame:
     return heaviest.select(*on, F.ceil(F.col("rows") / HEAVY_ROWS).cast("int").alias(name))
 
 
-def _split(df: DataFrame, parts: Column, name: str) -> DataFrame:
+def _measured_small(heavy: DataFrame, parts: list[str]) -> DataFrame:
+    """The heavy keys, or the heaviest of them that may be broadcast.
+
+    Only a join of some 10^11 rows has more; its keys of a few million rows then stay whole.
+    """
+    most = F.greatest(F.lit(1), *[F.coalesce(F.col(name), F.lit(1)) for name in parts])
+    found, at_least = materialize(heavy, "heavy-keys"), 1
+    while (size := measured(found)).rows > HEAVY_KEYS or size.bytes > BROADCAST_BYTES:
+        at_least *= 10
+        found = materialize(found.filter(most > at_least), "heavy-keys")
+    return found
+
+
+def _split(df: DataFrame, parts: Column, name: str, columns: list[str]) -> DataFrame:
     """Give each row one of ``parts`` salts, always the same one for the same row."""
-    return df.withColumn(name, F.pmod(F.xxhash64(*df.columns), F.coalesce(parts, F.lit(1))))
+    return df.withColumn(name, F.pmod(F.xxhash64(*columns), F.coalesce(parts, F.lit(1))))
 
 
 def _replicate(df: DataFrame, parts: Column, name: str) -> DataFrame:
@@ -77,27 +98,44 @@ def balanced_join(
     def rows(df: DataFrame) -> DataFrame:
         return df.groupBy(*on).agg(F.count("*").alias("rows"))
 
+    parts, salts = ["left_parts"], ["left_salt"]
     heavy = _heavy_keys(rows(left) if left_rows is None else left_rows, on, "left_parts")
-    if how == "inner" and split == "both":
+    both = how == "inner" and split == "both"
+    if both:
         counts = rows(right) if right_rows is None else right_rows
         heavy = heavy.join(_heavy_keys(counts, on, "right_parts"), on, "full")
-    else:
-        heavy = heavy.withColumn("right_parts", F.lit(1))
-    heavy = F.broadcast(materialize(heavy, "heavy-keys"))
-    left_parts, right_parts = F.col("left_parts"), F.col("right_parts")
-
-    def salted(df: DataFrame, own: Column, own_salt: str, other: Column, other_salt: str):
-        columns = df.columns
-        marked = _split(df.join(heavy, on, "left"), own, own_salt)
-        return _replicate(marked, other, other_salt).select(*columns, "left_salt", "right_salt")
-
-    salts = ["left_salt", "right_salt"]
-    joined = salted(left, left_parts, "left_salt", right_parts, "right_salt").join(
-        salted(right, right_parts, "right_salt", left_parts, "left_salt"), [*on, *salts], how
+        parts, salts = [*parts, "right_parts"], [*salts, "right_salt"]
+    heavy = F.broadcast(_measured_small(heavy, parts))
+
+    # A side that has one part only needs no hash of its rows, which may hold long texts.
+    own = _split(left.join(heavy, on, "left"), F.col("left_parts"), "left_salt", left.columns)
+    other = _replicate(right.join(heavy, on, "left"), F.col("left_parts"), "left_salt")
+    if both:
+        own = _replicate(own, F.col("right_parts"), "right_salt")
+        other = _split(other, F.col("right_parts"), "right_salt", right.columns)
+    joined = own.select(*left.columns, *salts).join(
+        other.select(*right.columns, *salts), [*on, *salts], how
     )
     return joined.drop(*salts)
 
 
+def possibly_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in ``wanted``, and a few more; nothing is shuffled.
+
+    Each wanted key sets one bit by its hash.  The bits have a fixed size, ``FILTER_MAPS`` rows of
+    4 KB, and are broadcast however many keys there are; the more keys, the more rows pass.  An
+    exact join has to follow.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_MAPS * MAP_BITS))
+    number, bit = F.shiftright(place, MAP_SHIFT), place.bitwiseAND(F.lit(MAP_BITS - 1))
+    maps = wanted.select(number.alias("_map"), bit.alias("_bit"))
+    maps = maps.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    marked = df.select("*", number.alias("_map"), bit.cast("int").alias("_bit"))
+    byte = F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.col("_bit").bitwiseAND(F.lit(7)))
+    return marked.join(F.broadcast(maps), ["_map"]).filter(is_set == 1).select(*df.columns)
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],

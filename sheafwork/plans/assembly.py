@@ -46,8 +46,9 @@ def assemble(
     """Resolve the requests, choose their files and measure them.
 
     Content is read twice, once for the sizes and once for the blocks; that is less than to carry it
-    through the numbering.  Outlines are dearer, so they are written once.  Where the files of the
-    requests that passed measure small, only their content goes beyond the scan (``only_chosen``).
+    through the numbering.  Outlines are dearer, so they are written once.  Only the content of files
+    of requests that passed goes beyond the scan, if they are very many also a little more
+    (``only_chosen``).
     """
     resolution = resolve(requests, catalog, root)
     chosen = materialize(selection.chosen_files(resolution), "chosen-files")

@@ -276,7 +276,7 @@ def join_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At this depth the pages have no text of their own but a footer, and some not even that."""
     pages = tables.read(spark, sf_dir, "pages")
     tokens = outlines.tokenize(pages, "page_id", "html", F.lit(outlines.MARKUP))
-    return outlines.join_tokens(outlines.nesting_depth(tokens), 2)
+    return outlines.join_tokens(tokens, 2)
 
 
 def outline_markup_query(spark: SparkSession, sf_dir: str) -> DataFrame:

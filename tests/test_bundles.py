@@ -194,3 +194,28 @@ def test_measures(catalog_of):
     block_bytes = dict(rows_of(found, "path", "block_bytes"))
     assert block_bytes["a/one.rs"] == len(ONE)
     assert block_bytes["a/b/three.txt"] == len(THREE)
+
+
+def test_filter_by_hash_keeps_all_that_is_wanted_and_moves_no_content(spark):
+    from pyspark.sql import functions as F
+
+    from sheafwork.operators.scale import possibly_in
+
+    df = spark.range(200_000).select(F.format_string("d/%d.txt", "id").alias("path"), "id")
+    wanted = df.filter("id % 7 = 0").select("path")
+    passed = possibly_in(df, wanted, "path")
+    assert passed.columns == df.columns
+    counts = passed.agg(F.count_if(F.col("id") % 7 == 0), F.count("*")).first()
+    assert counts[0] == wanted.count()
+    assert counts[1] < counts[0] * 1.01
+    assert possibly_in(df, wanted.limit(0), "path").count() == 0
+
+
+def test_chosen_content_is_filtered_before_the_shuffle(spark, catalog_of, no_broadcast):
+    from sheafwork.operators import bundles
+
+    catalog = catalog_of({f"d/{i}.txt": "x" for i in range(9)})
+    kept = bundles.only_chosen(catalog, catalog.select("path").filter("path = 'd/3.txt'"))
+    assert [row.path for row in kept.collect()] == ["d/3.txt"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -170,7 +170,29 @@ def test_dispatch(catalog_of):
     }
 
 
-def test_the_text_is_shuffled_once(spark):
+def test_no_text_is_shuffled(spark, catalog_of):
     df = spark.createDataFrame([(1, PAGE)], "id bigint, text string")
-    plan = markup(df, 3)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    for made in (markup(df, 3), braces(df, 3), o.outline_dispatch(catalog_of({"a.html": PAGE}), 3)):
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_with_the_same_id_stay_apart(spark):
+    df = spark.createDataFrame([(1, "<i>a"), (1, "<b>c"), (1, "<b>c")], "id bigint, text string")
+    assert sorted(row.outline for row in markup(df, 3).collect()) == ["a", "c", "c"]
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 512, 70_001])
+def test_running_sum_across_slices(spark, size):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    values = [(7 * i) % 5 - 2 for i in range(size)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    assert df.select(o.running_sum(F.col("v")).alias("s")).first().s == list(accumulate(values))
+
+
+def test_a_megabyte_of_tags_ends(spark):
+    start = time.monotonic()
+    assert outline(spark, "<i>" * 200_000 + "x" + "</i>" * 100_000 + "y", markup, 100_000) == "y"
+    assert time.monotonic() - start < 30
