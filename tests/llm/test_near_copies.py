@@ -1,0 +1,94 @@
+"""Near copies of the pipeline, and which row of a group is kept."""
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from sheafwork.llm import alike, simhash
+from sheafwork.llm.tables import importable_on_workers
+
+SCHEMA = "doc_id bigint, text string, note string"
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def groups(rows):
+    """Root of each different set, by comparing all pairs."""
+    sets = list({shingles(t) for _, t, _ in rows})
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and a:
+                root[top(i)] = top(j)
+    return {s: top(k) for k, s in enumerate(sets)}
+
+
+def smallest(rows, root):
+    kept = {}
+    for i, t, _ in rows:
+        kept.setdefault(root[shingles(t)], set()).add((i is None, i or 0))
+    return sorted(min(ids) for ids in kept.values())
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Edits of one text, from light to heavy, chains of edits, a common line, edges and copies."""
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(5000)]
+
+    def fresh(size):
+        return rng.choice(words, size).tolist()
+
+    def edited(text, edits):
+        text = list(text)
+        for at in rng.integers(0, len(text), edits):
+            text[at] = str(rng.choice(words))
+        return text
+
+    base, line = fresh(120), fresh(30)
+    texts = [base] + [edited(base, k % 9) for k in range(90)]
+    for _ in range(6):
+        text = fresh(60)
+        for _ in range(5):
+            texts.append(text)
+            text = edited(text, 1)
+    texts += [line + fresh(int(k)) for k in rng.integers(1, 60, 60)]
+    made = [" ".join(t) for t in texts] + ["", None, " \n", "one two", "One  two", "one two three", "é b c d e f"]
+    made = [(i, t, "n") for i, t in enumerate(made)]
+    return made + [made[3], (None, made[5][1], None), (None, "alone without an id", None), (4, "another text of four", None)]
+
+
+def test_near_copies_equal_brute_force(spark, rows):
+    importable_on_workers(spark)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    expected = smallest(rows, groups(rows))
+    for paired in (1, simhash.PAIRED, 1000):
+        found = alike.drop_near_copies(frame, paired=paired)
+        assert found.columns == frame.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in found.collect()) == expected
+    assert alike.drop_near_copies(frame.limit(0)).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    words = [f"word{i}" for i in range(200)]
+    other = ["changed" if k in (50, 120) else w for k, w in enumerate(words)]
+    frame = spark.createDataFrame([(1, " ".join(words), ""), (2, " ".join(other), "")], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()] == [1]
+
+
+def test_one_row_per_group_whatever_the_ids(spark):
+    importable_on_workers(spark)
+    texts = [" ".join(f"{name}{k}" for k in range(80)) for name in "abcdef"]
+    rows = [(None, t, "") for t in texts[:4]] + [(None, texts[0], ""), (9, texts[1], ""), (7, texts[4], ""), (3, texts[4], "")]
+    whole = {texts[0]: None, texts[1]: 9, texts[2]: None, texts[3]: None, texts[4]: 3, texts[5]: 7}
+    kept = alike.drop_near_copies(spark.createDataFrame([*rows, (7, texts[5], "")], SCHEMA)).collect()
+    assert len(kept) == len(texts) and {r.text: r.doc_id for r in kept} == whole
