@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sheafwork.llm import attribution, decontaminate, imatch, language, packing, pii, quality, repeats, simhash, wrappers
+from sheafwork.llm import (
+    attribution, decontaminate, imatch, language, manifest, packing, pii, quality, repeats, simhash, wrappers,
+)
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -77,6 +79,11 @@ def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    without_lines = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return manifest.verify_documents(read(spark, sf_dir, "documents"), _remainder(2) == 0, without_lines)
+
+
 def _registered(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(importable_on_workers(spark), sf_dir)
@@ -97,6 +104,7 @@ QUERIES = {
         "op8_token_attribution": section_tokens,
         "op9_bootstrapped_pii": personal_data,
         "op10_certified_packing": packed_sequences,
+        "op11_midstate_manifest": merkle_manifest,
     }.items()
 }
 ORACLES: dict[str, str] = {}
