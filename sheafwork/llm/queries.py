@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sheafwork.llm import (
-    attribution, decontaminate, imatch, language, manifest, packing, pii, quality, repeats, simhash, wrappers,
+    attribution, decontaminate, imatch, language, manifest, packing, pii, quality, repeats, simhash, whitening, wrappers,
 )
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
@@ -84,6 +84,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify_documents(read(spark, sf_dir, "documents"), _remainder(2) == 0, without_lines)
 
 
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
+
+
 def _registered(query: Callable[[SparkSession, str], DataFrame]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(importable_on_workers(spark), sf_dir)
@@ -105,6 +109,7 @@ QUERIES = {
         "op9_bootstrapped_pii": personal_data,
         "op10_certified_packing": packed_sequences,
         "op11_midstate_manifest": merkle_manifest,
+        "op13_incremental_whitening": whitened_embeddings,
     }.items()
 }
 ORACLES: dict[str, str] = {}
