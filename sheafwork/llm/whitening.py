@@ -80,7 +80,7 @@ def _combined(rows: DataFrame, combine: Callable[[pa.Table], pa.RecordBatch], la
     rows, turn = shared(rows, label), 0
     while rows.count() > 1:
 
-        def one(key, table: pa.Table) -> pa.Table:
+        def one(key: tuple, table: pa.Table) -> pa.Table:
             made = combine(table.drop_columns(["part"]))
             return pa.Table.from_batches([made]).add_column(0, "part", pa.array([key[0].as_py()], pa.int64()))
 

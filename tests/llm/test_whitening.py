@@ -66,7 +66,17 @@ def compare(found, expected):
     assert np.allclose([r[5] for r in found], [r[5] for r in expected], rtol=1e-9)
 
 
-def test_whitening_equals_dense_eigenvectors(spark, monkeypatch):
+@pytest.fixture
+def many_partitions(spark):
+    """A written table is read by a task for each of its files."""
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    yield
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_whitening_equals_dense_eigenvectors(spark, monkeypatch, many_partitions):
     importable_on_workers(spark)
     monkeypatch.setattr(whitening, "FAN_IN", 2)
     rng = np.random.default_rng(5)
