@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sheafwork.llm import (
-    attribution, decontaminate, imatch, language, manifest, packing, pii, quality, repeats, simhash, whitening, wrappers,
+    attribution, decontaminate, imatch, language, manifest, minhash, packing, pii, quality, repeats, simhash,
+    whitening, wrappers,
 )
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
@@ -84,6 +85,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify_documents(read(spark, sf_dir, "documents"), _remainder(2) == 0, without_lines)
 
 
+def signature_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
 
@@ -109,6 +114,7 @@ QUERIES = {
         "op9_bootstrapped_pii": personal_data,
         "op10_certified_packing": packed_sequences,
         "op11_midstate_manifest": merkle_manifest,
+        "op12_signature_join": signature_duplicates,
         "op13_incremental_whitening": whitened_embeddings,
     }.items()
 }

@@ -22,7 +22,19 @@ def shared(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives executors."""
     location = new_location(df.sparkSession, label)
     df.write.parquet(location)
-    return df.sparkSession.read.schema(df.schema).parquet(location)
+    written = df.sparkSession.read.schema(df.schema).parquet(location)
+    written._sheafwork_location = location
+    return written
+
+
+def spent(*frames: DataFrame) -> None:
+    """Delete tables from ``shared`` that no frame still to be computed reads."""
+    for frame in frames:
+        location = frame.__dict__.pop("_sheafwork_location", None)
+        if location:
+            session = frame.sparkSession
+            path = session._jvm.org.apache.hadoop.fs.Path(location)
+            path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
