@@ -3,9 +3,9 @@
 Documents are encoded once into pieces of at most ``capacity`` tokens.  The pieces are dealt over
 groups of bounded size; each group is packed by best-fit decreasing and gets a lower bound for its
 number of sequences.  A group that meets its bound is optimal and final.  In the other groups the
-full sequences stay, and the pieces of all others are exchanged: they are dealt anew over fewer
-groups and packed again, until every group meets its bound, one group is left, or a round saves
-nothing more.
+full sequences stay, and the pieces of all others are exchanged: they are dealt anew over as many
+groups as their number asks for and packed again, until every group meets its bound, one group is left,
+or a round saves nothing more.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         keep = (F.col("gap") == 0) | F.col("full")
         done.append(packed.where(keep))
         open_pieces = shared(packed.where(~keep).select(*columns.names), "pieces")
-        groups = max(1, groups // 4)
+        groups = max(1, -(-open_pieces.count() // group_pieces))
     result = done[0]
     for frame in done[1:]:
         result = result.unionByName(frame)
