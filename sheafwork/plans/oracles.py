@@ -370,11 +370,7 @@ FROM (
 
 # --- scalar functions ---------------------------------------------------------------------------
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages "
-    "benchmark labels conversations"
-).split()
-_FILES = ", ".join(f"'{name}.parquet'" for name in TABLES)
+_PART_FILE = "request_id || '/' || printf('%08d', part_no) || '.md'"
 
 TABLE_CATALOG = f"""{_with(DOCUMENTS, PAGES, CONVERSATIONS, EVENTS)}
 SELECT path, canonical_key, ext, content, NULL::VARCHAR AS read_error FROM (
@@ -415,12 +411,13 @@ FROM (
 
 ORACLES: dict[str, str] = {
     "file_catalog": f"""
-        SELECT path, path AS canonical_key, 'parquet' AS ext, true AS has_bytes
-        FROM (SELECT unnest([{_FILES}]) AS path)""",
+        SELECT {_PART_FILE} AS path, {_PART_FILE} AS canonical_key, 'md' AS ext,
+               strlen(markdown) AS n_bytes, NULL::VARCHAR AS read_error
+        FROM ({_parts(DOCUMENT_BATCH, CONTENT_BODIES)})""",
     "file_contents": f"""
-        SELECT path, path AS canonical_key, 'parquet' AS ext, NULL::VARCHAR AS content,
-               'stream did not contain valid UTF-8' AS read_error
-        FROM (SELECT unnest([{_FILES}]) AS path)""",
+        SELECT {_PART_FILE} AS path, {_PART_FILE} AS canonical_key, 'md' AS ext,
+               markdown AS content, NULL::VARCHAR AS read_error
+        FROM ({_parts(DOCUMENT_BATCH, CONTENT_BODIES)})""",
     "table_catalog": TABLE_CATALOG,
     "request_batch": f"{_with(MIXED_REQUESTS)} SELECT request_id, input_ord, input FROM requests",
     "write_bundles": _parts(DOCUMENT_BATCH, CONTENT_BODIES),

@@ -26,13 +26,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 # --- sources and sinks --------------------------------------------------------------------------
 
 
+def _bundle_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents' bundles as files."""
+    location = new_location(spark, "bundle-files")
+    write_bundles(_document_bundles(spark, sf_dir).parts(PART_BYTES), location, "files")
+    return location
+
+
 def file_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    has_bytes = (F.col("n_bytes") > 0).alias("has_bytes")
-    return file_catalog(spark, sf_dir).select("path", "canonical_key", "ext", has_bytes)
+    return file_catalog(spark, _bundle_files(spark, sf_dir)).where("ext = 'md'")
 
 
 def file_contents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_contents(spark, sf_dir)
+    return file_contents(spark, _bundle_files(spark, sf_dir)).where("ext = 'md'")
 
 
 def table_catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from sheafwork import assemble, file_catalog, file_contents, request_batch, write_bundles
-from sheafwork.functions.text import NOT_UTF8
+from sheafwork import assemble, request_batch, write_bundles
 from sheafwork.operators import bundles
 from sheafwork.operators.scale import balanced_join, running_totals
 
@@ -93,41 +92,6 @@ def test_repeated_paths_are_refused(spark):
     assert table_catalog(df, "p", "c", check_unique=False).count() == 2
 
 
-@pytest.fixture
-def tree(tmp_path):
-    root = tmp_path / "root"
-    (root / "sub" / "deep").mkdir(parents=True)
-    (root / "one.txt").write_text("eins\n")
-    (root / "sub" / "deep" / "zwei.py").write_text("zweí = 2")
-    (root / "sub" / "bad.bin").write_bytes(b"\xff\xfe")
-    (root / "sub" / "empty").write_text("")
-    (root / ".dot").write_text("x")
-    (root / "_under").write_text("x")
-    return root
-
-
-def test_file_catalog_lists_below_the_root(spark, tree):
-    expected = [("one.txt", "txt", 5), ("sub/bad.bin", "bin", 2), ("sub/deep/zwei.py", "py", 9)]
-    for root in (str(tree), f"file:{tree}", f"file://{tree}", f"{tree}/"):
-        assert rows_of(file_catalog(spark, root), "path", "ext", "n_bytes") == expected
-    plan = file_catalog(spark, str(tree))._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[-1]
-
-
-def test_file_contents(spark, tree, requests_of):
-    catalog = file_contents(spark, str(tree))
-    assert rows_of(catalog, "path", "content", "read_error") == [
-        ("one.txt", "eins\n", None), ("sub/bad.bin", None, NOT_UTF8), ("sub/deep/zwei.py", "zweí = 2", None),
-    ]
-    made = assemble(requests_of(["one", "sub"]), catalog)
-    assert joined(made.parts())[1] == (
-        "one.txt\n```txt\neins\n```\n\n"
-        'sub/bad.bin\n```bin\nError: Could not read file content for "sub/bad.bin".\n'
-        f"Details: {NOT_UTF8}\n```\n\n"
-        "sub/deep/zwei.py\n```py\nzweí = 2\n```\n\n"
-    )
-
-
 def test_write_bundles(spark, tmp_path, catalog_of, requests_of):
     parts = assemble(requests_of(["a", "c.md"], ["c.md"]), catalog_of(FILES)).parts(30)
     for fmt in ("parquet", "json"):
