@@ -16,6 +16,8 @@ AMBIGUOUS = "Ambiguous"
 INVALID_GLOB = "InvalidGlobPattern"
 NOT_FOUND = "NotFound"
 NO_SUCH_PATH = "PathDoesNotExist"
+#: Of an input that is NULL, as of a request without inputs.
+MISSING_INPUT = "MissingInput"
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ class Resolution:
 
 def resolve(requests: DataFrame, catalog: DataFrame, root: str = paths.ROOT) -> Resolution:
     """Resolve each distinct input once; only those a tier leaves open go on to the next."""
-    requests = materialize(requests, "requests")
+    requests = materialize(requests, "requests", missing=F.count_if(F.col("input").isNull()))
     inputs = materialize(matching.distinct_inputs(requests), "inputs")
 
     exact = materialize(matching.match_exact(inputs, catalog), "exact-matches")
@@ -141,10 +143,16 @@ def input_outcomes(inputs: DataFrame, tallies: DataFrame, root: str = paths.ROOT
 
 def resolution_status(resolution: Resolution) -> DataFrame:
     """One row per input of each request, repeated inputs included."""
-    joined = balanced_join(resolution.requests, resolution.outcomes, ["input"], split="left")
-    return joined.select(
-        "request_id", "input_ord", "input", "status", "tier", "n_matches", "error", "path_tried"
-    )
+    columns = ["request_id", "input_ord", "input", "status", "tier", "n_matches", "error", "path_tried"]
+    requests, outcomes = resolution.requests, resolution.outcomes
+    status = balanced_join(requests, outcomes, ["input"], split="left").select(*columns)
+    size = measured(requests)
+    if size and not size.metrics.get("missing", 1):
+        return status
+    none = {c: F.lit(None).cast("string").alias(c) for c in ("tier", "error", "path_tried")}
+    known = {"status": F.lit(MISSING_INPUT).alias("status"), "n_matches": F.lit(0).cast("bigint").alias("n_matches")}
+    missing = requests.filter(F.col("input").isNull()).select(*[{**none, **known}.get(c, F.col(c)) for c in columns])
+    return status.unionByName(missing)
 
 
 def outcome_counts(status: DataFrame) -> DataFrame:
@@ -159,6 +167,7 @@ def outcome_counts(status: DataFrame) -> DataFrame:
         count(INVALID_GLOB).alias("n_invalid_glob"),
         count(NOT_FOUND).alias("n_not_found"),
         count(NO_SUCH_PATH).alias("n_path_does_not_exist"),
+        count(MISSING_INPUT).alias("n_missing_input"),
     )
 
 

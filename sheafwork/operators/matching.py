@@ -20,7 +20,7 @@ PIECE_LENGTHS = (8, 3, 2, 1)
 
 
 def distinct_inputs(requests: DataFrame) -> DataFrame:
-    return requests.select("input").distinct()
+    return requests.select("input").filter(F.col("input").isNotNull()).distinct()
 
 
 def match_direct(inputs: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ NO_SUCH_PATH_TITLE = "The following specified paths do not exist:"
 INVALID_GLOB_TITLE = "The following glob patterns are invalid:"
 NOT_FOUND_TITLE = "The following inputs could not be found:"
 AMBIGUOUS_TITLE = "The following inputs are ambiguous:"
+MISSING_TITLE = "The following inputs are missing:"
 RESOLVED_TITLE = "However, these files were successfully resolved:"
 NO_SUCH_PATH_LINE = "  • Input: '%s' (checked: %s)"
 INVALID_GLOB_LINE = "  • Input: '%s' (error: %s)"
@@ -26,6 +27,7 @@ NOT_FOUND_LINE = "  • Input: '%s'"
 AMBIGUOUS_LINE = "  • Input '%s' matched:"
 CONFLICT_LINE = "    → %s"
 MORE_LINE = "    → ... and %d more match%s."
+MISSING_LINE = "  • Input number %d"
 RESOLVED_LINE = "  ✓ %s"
 
 
@@ -113,11 +115,17 @@ def error_report(resolution: Resolution, shown: int = SHOWN) -> DataFrame:
             F.lit(shown + 1),
         ),
         _lines(
-            resolved,
+            of(cascade.MISSING_INPUT),
             5,
+            MISSING_TITLE,
+            F.format_string(MISSING_LINE, F.col("input_ord") + 1),
+        ),
+        _lines(
+            resolved,
+            6,
             RESOLVED_TITLE,
             F.format_string(RESOLVED_LINE, texts.quoted(F.col("path"))),
             F.col("before") + 1,
         ),
-        _lines(failed, 6, "", F.lit(CLOSING)),
+        _lines(failed, 7, "", F.lit(CLOSING)),
     )

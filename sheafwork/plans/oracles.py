@@ -68,7 +68,13 @@ MIXED_REQUESTS = f"""requests AS (
             WHEN lang = 'en' THEN [source || '/en', './' || source || '/en/']
             ELSE [source || '/' || lang, './' || source || '/' || lang || '/',
                   'zzz' || source || '/' || lang] END
-        FROM documents GROUP BY source, lang))"""
+        FROM documents GROUP BY source, lang)
+    UNION ALL
+    SELECT -1000000000 - doc_id, 0,
+           CASE WHEN lang NOT IN ('en', 'fr') THEN source || '/' || lang || '/' || doc_id || '.txt' END
+    FROM documents
+    UNION ALL
+    SELECT -1000000000 - doc_id, 1, NULL FROM documents WHERE lang = 'de')"""
 DIRECTORY_REQUESTS = f"""requests AS (
     {_UNNEST} FROM (
         SELECT min(doc_id) AS request_id, [source || '/' || lang, source] AS inputs
@@ -99,7 +105,7 @@ MATCHERS = f"""inputs AS (
            contains(input, '[') AND NOT contains(input, ']') AS malformed,
            CASE WHEN NOT starts_with(input, '/')
                 THEN rtrim(regexp_replace(input, '^\\./', ''), '/') END AS name
-    FROM (SELECT DISTINCT input FROM requests)),
+    FROM (SELECT DISTINCT input FROM requests WHERE input IS NOT NULL)),
 by_file AS (
     SELECT input, 'file' AS tier, path, canonical_key
     FROM inputs JOIN cat ON path = name WHERE NOT ends_with(input, '/')),
@@ -135,7 +141,10 @@ status AS (
            CASE WHEN status = 'PathDoesNotExist' THEN
                 CASE WHEN starts_with(input, '/') THEN input ELSE '{ROOT}/' || input END
            END AS path_tried
-    FROM requests JOIN outcomes USING (input)),
+    FROM requests JOIN outcomes USING (input)
+    UNION ALL
+    SELECT request_id, input_ord, NULL, 'MissingInput', NULL, 0, NULL, NULL
+    FROM requests WHERE input IS NULL),
 gate AS (SELECT request_id, bool_and(status = 'Success') AS passed FROM status GROUP BY request_id),
 matches AS (
     SELECT request_id, input_ord, input, tier, path, canonical_key
@@ -203,10 +212,13 @@ lines AS (
            || CASE WHEN n_matches = 9 THEN '' ELSE 'es' END || '.'
     FROM status WHERE status = 'Ambiguous' AND n_matches > 8
     UNION ALL
-    SELECT request_id, 5, 'However, these files were successfully resolved:', input_ord, n,
+    SELECT request_id, 5, 'The following inputs are missing:', input_ord, 0,
+           '  • Input number ' || (input_ord + 1) FROM status WHERE status = 'MissingInput'
+    UNION ALL
+    SELECT request_id, 6, 'However, these files were successfully resolved:', input_ord, n,
            '  ✓ "' || path || '"' FROM resolved
     UNION ALL
-    SELECT request_id, 6, '', -1, 0, 'Please resolve the issues above and try again.'
+    SELECT request_id, 7, '', -1, 0, 'Please resolve the issues above and try again.'
     FROM gate WHERE NOT passed)
 SELECT request_id, section_no::INTEGER AS section_no, section, input_ord::INTEGER AS input_ord,
        line_no::BIGINT AS line_no, text
@@ -461,7 +473,8 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE status = 'Ambiguous') AS n_ambiguous,
                count(*) FILTER (WHERE status = 'InvalidGlobPattern') AS n_invalid_glob,
                count(*) FILTER (WHERE status = 'NotFound') AS n_not_found,
-               count(*) FILTER (WHERE status = 'PathDoesNotExist') AS n_path_does_not_exist
+               count(*) FILTER (WHERE status = 'PathDoesNotExist') AS n_path_does_not_exist,
+               count(*) FILTER (WHERE status = 'MissingInput') AS n_missing_input
         FROM status GROUP BY request_id""",
     "bundle_totals": _totals(DOCUMENT_BATCH, CONTENT_BODIES, "n_lines", "lines"),
     "outline_totals": _totals(PAGE_OUTLINE_BATCH, OUTLINE_BODIES, "block_bytes", "characters"),

@@ -87,7 +87,8 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with inputs of every tier and, but for English documents, of every fault.
 
     One request per document, whose inputs select few paths each, and one per source and language,
-    with a negative id, which asks for that directory.  So the matches grow with the documents.
+    with a negative id, which asks for that directory.  So the matches grow with the documents.  And one
+    per document, with an id below -10^9, that has no inputs, a NULL for its inputs, or one among them.
     """
     doc_id = F.col("doc_id").cast("string")
     source, path, lang = F.col("source"), document_path(), F.col("lang")
@@ -132,9 +133,16 @@ def mixed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(asked, F.array(text("zzz", directory))))
         .alias("inputs"),
     )
-    return request_batch(
-        documents.select("doc_id", inputs.alias("inputs")).unionByName(directories), "doc_id", "inputs"
+    none = F.lit(None).cast("string")
+    faulty = documents.select(
+        (F.lit(-1_000_000_000) - F.col("doc_id")).alias("doc_id"),
+        F.when(lang == "en", F.array().cast("array<string>"))
+        .when(lang == "de", F.array(path, none))
+        .when(lang != "fr", F.array(path))
+        .alias("inputs"),
     )
+    asked = documents.select("doc_id", inputs.alias("inputs"))
+    return request_batch(asked.unionByName(directories).unionByName(faulty), "doc_id", "inputs")
 
 
 def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

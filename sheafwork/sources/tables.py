@@ -53,9 +53,11 @@ def require_unique_paths(catalog: DataFrame) -> None:
 def request_batch(df: DataFrame, request_id: Column | str, inputs: Column | str) -> DataFrame:
     """Requests ``request_id, input_ord, input`` from one row per request with an input array.
 
-    A request needs at least one input; rows with an empty or NULL array give none.
+    A request needs at least one input: an empty or NULL array gives one missing input, which is NULL, so
+    that the request fails and is reported.  A NULL in an array is a missing input as well.
     """
-    return df.select(
+    exploded = df.select(
         _column(request_id).cast("bigint").alias("request_id"),
-        F.posexplode(_column(inputs)).alias("input_ord", "input"),
-    ).filter(F.col("input").isNotNull())
+        F.posexplode_outer(_column(inputs)).alias("input_ord", "input"),
+    )
+    return exploded.withColumn("input_ord", F.coalesce("input_ord", F.lit(0)))

@@ -3,7 +3,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from sheafwork import assemble, request_batch, write_bundles
-from sheafwork.operators import bundles
+from sheafwork.operators import bundles, cascade
 from sheafwork.operators.scale import balanced_join, running_totals
 
 FILES = {
@@ -80,7 +80,26 @@ def test_read_errors_stand_in_for_content(spark, requests_of):
 
 def test_request_batch(spark):
     df = spark.createDataFrame([(7, ["b", "a", "b", None]), (8, []), (9, None)], "r int, i array<string>")
-    assert rows_of(request_batch(df, "r", "i")) == [(7, 0, "b"), (7, 1, "a"), (7, 2, "b")]
+    found = sorted(map(tuple, request_batch(df, "r", "i").collect()))
+    assert found == [(7, 0, "b"), (7, 1, "a"), (7, 2, "b"), (7, 3, None), (8, 0, None), (9, 0, None)]
+
+
+def test_every_request_has_a_status_and_a_report(spark, catalog_of):
+    df = spark.createDataFrame([(1, ["a.rs", None]), (2, []), (3, None), (4, ["a.rs"])], "r int, i array<string>")
+    made = assemble(request_batch(df, "r", "i"), catalog_of({"a.rs": "x"}))
+    missing = cascade.MISSING_INPUT
+    assert rows_of(made.status(), "request_id", "input_ord", "status") == [
+        (1, 0, "Success"), (1, 1, missing), (2, 0, missing), (3, 0, missing), (4, 0, "Success"),
+    ]
+    assert rows_of(cascade.request_gate(made.status())) == [(1, False), (2, False), (3, False), (4, True)]
+    assert rows_of(made.outcome_counts(), "request_id", "n_success", "n_missing_input") == [
+        (1, 1, 1), (2, 0, 1), (3, 0, 1), (4, 1, 0),
+    ]
+    assert list(joined(made.parts())) == [4]
+    lines = made.report().orderBy("request_id", "section_no", "input_ord", "line_no").collect()
+    texts = {k: [r.text for r in lines if r.request_id == k] for k in (1, 2, 3, 4)}
+    assert texts[1][1:-1] == ["  • Input number 2", '  ✓ "a.rs"']
+    assert texts[2] == texts[3] and texts[2][1:-1] == ["  • Input number 1"] and texts[4] == []
 
 
 def test_repeated_paths_are_refused(spark):
@@ -176,7 +195,7 @@ def test_filter_by_hash_keeps_all_that_is_wanted_and_moves_no_content(spark):
 
 
 def test_chosen_content_is_filtered_before_the_shuffle(spark, catalog_of, no_broadcast):
-    from sheafwork.operators import bundles
+    from sheafwork.operators import bundles, cascade
 
     catalog = catalog_of({f"d/{i}.txt": "x" for i in range(9)})
     kept = bundles.only_chosen(catalog, catalog.select("path").filter("path = 'd/3.txt'"))

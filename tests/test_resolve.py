@@ -132,7 +132,7 @@ def test_gate_and_counts(catalog_of, requests_of):
     status = resolution_status(resolve(requests, catalog_of(FILES)))
     assert rows_of(cascade.request_gate(status)) == [(1, False), (2, True), (3, False)]
     assert rows_of(cascade.outcome_counts(status)) == [
-        (1, 1, 1, 0, 0, 0), (2, 1, 0, 0, 0, 0), (3, 1, 0, 1, 2, 1),
+        (1, 1, 1, 0, 0, 0, 0), (2, 1, 0, 0, 0, 0, 0), (3, 1, 0, 1, 2, 1, 0),
     ]
 
 
