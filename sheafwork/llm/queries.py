@@ -10,6 +10,7 @@ from sheafwork.llm import (
     attribution, decontaminate, imatch, language, manifest, minhash, packing, pii, quality, repeats, simhash,
     whitening, wrappers,
 )
+from sheafwork.llm.oracles import ORACLES as ORACLES
 from sheafwork.llm.tables import importable_on_workers, read, shared
 
 
@@ -118,4 +119,3 @@ QUERIES = {
         "op13_incremental_whitening": whitened_embeddings,
     }.items()
 }
-ORACLES: dict[str, str] = {}
