@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import globs, paths
-from sheafwork.operators.scale import balanced_join, fits_broadcast
+from sheafwork.operators.scale import balanced_join, fits_broadcast, possibly_in
 from sheafwork.session import materialize, measured, with_size
 
 FILE, DIRECTORY, GLOB, SUBSTRING = "file", "directory", "glob", "substring"
@@ -163,6 +163,8 @@ def rarest_pieces(patterns: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = pieces.select("piece").distinct()
     if fits_broadcast(wanted, bound=pieces):
         held = held.join(F.broadcast(wanted), ["piece"], "left_semi")
+    else:
+        held = possibly_in(held, wanted, "piece")
     # Counted before the shuffle: a piece that most paths hold is one row per task.
     counts = held.groupBy("piece").agg(F.count("*").alias("n_held"))
     counted = balanced_join(pieces, counts, ["piece"], "left", bound=pieces)
@@ -195,6 +197,9 @@ def candidates(patterns: DataFrame, catalog: DataFrame, tier: str) -> DataFrame:
     """The matches of a tier's ``rarest_pieces``: paths that hold the piece and pass the full test."""
     held = _path_pieces(catalog, _lengths_in_use(patterns, tier), "path", "canonical_key")
     chosen = patterns.filter(F.col("tier") == tier)
+    if not fits_broadcast(patterns):
+        # Most pieces of most paths are no pattern's: they are dropped where they are cut.
+        held = possibly_in(held, chosen.select("piece"), "piece")
     pairs = balanced_join(
         held,
         chosen.select("input", "tier", "regex", "piece"),

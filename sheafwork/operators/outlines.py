@@ -8,6 +8,8 @@ id stay apart.  The levels of brackets and indents are not those of a syntax tre
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import text as texts
@@ -256,6 +258,27 @@ def outline_brackets(
     return outline_tokens(df, doc_id, text, F.lit(kind), max_level)
 
 
+def outline_levels(
+    df: DataFrame, doc_id: str, text: str, levels: Sequence[int], kind: str = DATA
+) -> DataFrame:
+    """``doc_id, max_level, outline`` for each of some levels, as by ``outline_brackets``.
+
+    A text is cut into tokens and their depths are summed once for all levels.
+    """
+    if kind not in BRACKET_TOKEN:
+        raise ValueError(f"kind {kind!r} is not one of {', '.join(BRACKET_TOKEN)}")
+    tokens = tokenize(df, doc_id, text, F.lit(kind))
+    nodes = tokens.select("doc_id", "kind", token_nodes(F.col("tokens"), F.col("kind")).alias("nodes"))
+
+    def outline(level: int) -> Column:
+        joined = joined_leaves(F.col("nodes"), F.col("kind"), level)
+        outline = F.coalesce(joined, F.lit(texts.NO_STRUCTURE)).alias("outline")
+        return F.struct(F.lit(level).alias("max_level"), outline)
+
+    rows = nodes.select("doc_id", F.explode(F.array(*map(outline, levels))).alias("row"))
+    return rows.select("doc_id", "row.max_level", "row.outline")
+
+
 def indent_outline(text: Column, max_level: int) -> Column:
     """Trimmed lines down to an indent level; the unit is the document's smallest indent.
 

@@ -296,14 +296,7 @@ def outline_brackets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('}],"type":"'), "event_type", F.lit('"}'),
     )
     events = tables.read(spark, sf_dir, "events").select("event_id", nested.alias("nested"))
-    return union_all(
-        *[
-            outlines.outline_brackets(events, "event_id", "nested", level).withColumn(
-                "max_level", F.lit(level)
-            )
-            for level in BRACKET_LEVELS
-        ]
-    )
+    return outlines.outline_levels(events, "event_id", "nested", BRACKET_LEVELS)
 
 
 def outline_indent_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,3 +196,12 @@ def test_a_megabyte_of_tags_ends(spark):
     start = time.monotonic()
     assert outline(spark, "<i>" * 200_000 + "x" + "</i>" * 100_000 + "y", markup, 100_000) == "y"
     assert time.monotonic() - start < 30
+
+
+def test_levels_at_once_equal_single_levels(spark):
+    rows = [(1, '{"a":[{"b":"}"},2]}'), (2, ""), (3, None), (4, "}{"), (5, "[[[[]]]]" * 300)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    found = o.outline_levels(df, "id", "text", (0, 1, 3))
+    for level in (0, 1, 3):
+        single = rows_of(o.outline_brackets(df, "id", "text", level), "doc_id", "outline")
+        assert rows_of(found.filter(f"max_level = {level}"), "doc_id", "outline") == single

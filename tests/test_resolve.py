@@ -85,6 +85,20 @@ def test_matches_equal_brute_force(request, large, catalog_of, requests_of):
     assert found == sorted((s, p) for s in substrings for p in files if s in p)
 
 
+def test_pieces_are_filtered_before_the_shuffle(no_broadcast, catalog_of, requests_of):
+    """Beyond the broadcast bound the pieces pass a filter by hash in the task that cuts them."""
+    inputs = requests_of(["abc-long-name-7", "*/x*.txt"]).select("input")
+    catalog = catalog_of({f"d{i}/abc-long-name-{i}.txt": "" for i in range(30)} | {"d/x1.txt": ""})
+    patterns = matching.rarest_pieces(matching.path_patterns(inputs), catalog)
+    for tier, n in ((matching.SUBSTRING, 1), (matching.GLOB, 1)):
+        found = matching.candidates(patterns, catalog, tier)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        lines = plan.splitlines()
+        filters = [k for k, line in enumerate(lines) if "bitmap_construct_agg" in line]
+        cuts = [k for k, line in enumerate(lines) if "Generate" in line]
+        assert filters and cuts and found.count() == n
+
+
 def test_file_wins_over_directory_of_the_same_name(catalog_of, requests_of):
     resolution = resolve(requests_of(["a"]), catalog_of({"a": "1", "a/b": "2"}))
     assert rows_of(resolution.matches(), "tier", "path") == [("file", "a")]
