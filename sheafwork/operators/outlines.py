@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sheafwork.functions import text as texts
 from sheafwork.functions.binding import bind
+from sheafwork.operators.scale import spread
 
 #: Values per slice of a running sum.
 SLICE = 256
@@ -196,6 +197,7 @@ def joined_leaves(nodes: Column, kind: Column, max_depth: int) -> Column:
 def tokenize(df: DataFrame, doc_id: str, text: str, kind: Column) -> DataFrame:
     """``doc_id, kind, tokens``: the tokens of each document, NULL for a NULL text."""
     placed = df.select(F.col(doc_id).alias("doc_id"), kind.alias("kind"), F.col(text).alias("text"))
+    placed = spread(placed)
     tokens = token_array(F.col("text"), F.col("kind"))
     return placed.select("doc_id", "kind", tokens.alias("tokens"))
 

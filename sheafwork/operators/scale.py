@@ -136,6 +136,18 @@ def possibly_in(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return marked.join(F.broadcast(maps), ["_map"]).filter(is_set == 1).select(*df.columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small scan dealt over all cores; anything else is left as it is.
+
+    For work that costs far more than to move its rows.  Only a scan with fewer tasks than there are
+    cores is dealt, so at scale nothing is moved; a plan with an exchange is not looked into.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def running_totals(
     df: DataFrame,
     group: list[str],

@@ -205,3 +205,16 @@ def test_levels_at_once_equal_single_levels(spark):
     for level in (0, 1, 3):
         single = rows_of(o.outline_brackets(df, "id", "text", level), "doc_id", "outline")
         assert rows_of(found.filter(f"max_level = {level}"), "doc_id", "outline") == single
+
+
+def test_small_scans_are_spread_and_nothing_else(spark, tmp_path):
+    from sheafwork.operators.scale import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(small).rdd.getNumPartitions() == cores and spread(small).count() == 100
+    grouped = small.groupBy("id").count()
+    assert spread(grouped) is grouped
+    wide = spark.range(100, numPartitions=cores)
+    assert spread(wide) is wide
