@@ -1,15 +1,16 @@
 """Document fingerprints by I-Match, with several randomised lexicons.
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither so common that
-they say nothing, nor so rare that an edit brings them in.  Each of ``LEXICONS`` randomised lexicons
-is a random share of it, chosen by a hash of the term.  A text's distinct terms in a lexicon are sorted
-and hashed together; the fingerprint is the list of these hashes.  Two texts are alike in the share of
-lexicons that give both the same hash, of those that hold a term of either.
+they say nothing, nor so rare that an edit brings them in.  A text's distinct terms in a lexicon are
+sorted and hashed together, to 64 bits.  The first hash is that of the whole lexicon.  The others are
+those of randomised lexicons: ``DRAWS`` independent draws, of each the lexicons with a quarter, a 16th,
+a 64th and a 256th of the terms, so a term may be in several.  Every term of the band counts, in texts of
+any length, and every text has all hashes.
 
-For long texts the lexicons are thinned: of a text with n terms in the band, those are taken whose
-hash ends in enough zero bits to leave about ``TERMS`` of them.  So a change of a given share of the
-terms changes the same share of hashes in short and in long texts.  Each fingerprint is kept at its
-own thinning and at the next coarser one, so that texts on two sides of a step can be compared.
+Two texts are compared at each share by itself: alike in the part of its draws that give both the same
+hash, of those that hold a term of either, if at least half of the draws do.  The largest of these
+is their likeness; 1 if the whole lexicons agree.  Lexicons with few terms of a text tell how much of it
+an edit has left, those with many whether it has changed at all.
 
 Everything is built from Spark's own functions.
 """
@@ -17,17 +18,20 @@ Everything is built from Spark's own functions.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sheafwork.functions.binding import bind
 from sheafwork.llm.order import next_smaller
 from sheafwork.llm.tables import shared
 
 #: Shares of the documents between which a term is in the lexicon.
 LOW, HIGH = 0.002, 0.2
-LEXICONS = 32
-#: Terms of a text that its lexicons are thinned to, at most about.
-TERMS = 32
+#: Draws of randomised lexicons, each by eight bits of a term's hash: a lexicon of a draw has the
+#: terms with so many of these bits zero.
+DRAWS = 8
+ZEROS = (2, 4, 6, 8)
 
 _NOT_A_TERM = r"[^\p{L}\p{N}]+"
 #: Lists that the lexicon is dealt to for look-ups.
@@ -63,71 +67,56 @@ def _in_lexicon(members: list[int]):
 
 
 def fingerprint(text: Column, inside) -> Column:
-    """Struct of level (thinning), ``own`` and ``coarser``: a hash per lexicon, 0 for no term.
+    """Array of hashes, 0 for no term: the whole lexicon's, then those of each draw by falling share.
 
     A text without a term in the band is fingerprinted from all its terms.
     """
     found = F.transform(F.array(terms(text)), lambda t: F.struct(t.alias("t"), F.filter(t, inside).alias("b")))
     banded = F.transform(found, lambda s: F.when(F.size(s["b"]) > 0, s["b"]).otherwise(s["t"]))
-    placed = F.transform(
-        banded,
-        lambda b: F.struct(
-            F.array_sort(b).alias("b"),
-            F.greatest(F.ceil(F.log2(F.greatest(F.size(b), F.lit(1)) / F.lit(float(TERMS)))), F.lit(0))
-            .cast("int")
-            .alias("level"),
-        ),
-    )
 
-    def hashes(sorted_terms: Column, level: Column) -> Column:
-        ending = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
-        thinned = F.filter(sorted_terms, lambda t: t.bitwiseAND(ending) == 0)
-        return F.transform(
-            F.array(thinned),
-            lambda kept: F.transform(
-                F.sequence(F.lit(0), F.lit(LEXICONS - 1)),
-                lambda k: _one_hash(
-                    F.filter(kept, lambda t: F.shiftrightunsigned(t, 40).bitwiseAND(F.lit(LEXICONS - 1)) == k)
-                ),
-            ),
-        )[0]
-
-    def made(p: Column) -> Column:
-        return F.struct(
-            p["level"].alias("level"),
-            hashes(p["b"], p["level"]).alias("own"),
-            hashes(p["b"], p["level"] + 1).alias("coarser"),
-        )
+    def hashes(members: Column) -> Column:
+        draws = [_of_draw(members, draw, ZEROS) for draw in range(DRAWS)]
+        return F.concat(F.array(_one_hash(members)), *draws)
+
+    return F.transform(banded, lambda b: bind(F.array_sort(b), hashes))[0]
+
+
+def _of_draw(members: Column, draw: int, zeros: tuple[int, ...]) -> Column:
+    """Hashes of the lexicons of a draw; each is a part of the one before, and looked for there only."""
+    bits = F.lit((1 << zeros[0]) - 1)
+    kept = F.filter(members, lambda t: F.shiftrightunsigned(t, 8 * draw).bitwiseAND(bits) == 0)
 
-    return F.transform(placed, made)[0]
+    def further(part: Column) -> Column:
+        own = F.array(_one_hash(part))
+        return F.concat(own, _of_draw(part, draw, zeros[1:])) if zeros[1:] else own
+
+    return bind(kept, further)
 
 
 def _one_hash(members: Column) -> Column:
-    return F.when(F.size(members) == 0, F.lit(0)).otherwise(
-        (F.pmod(F.xxhash64(members), F.lit(65535)) + 1).cast("int")
-    )
+    hashed = F.xxhash64(members)
+    return F.when(F.size(members) == 0, F.lit(0)).when(hashed == 0, F.lit(1)).otherwise(hashed).cast("bigint")
 
 
 def as_text(print_: Column) -> Column:
-    """A fingerprint as hexadecimal text: the level, then four digits per lexicon."""
-    digits = F.transform(print_["own"], lambda h: F.lower(F.lpad(F.hex(h), 4, "0")))
-    return F.concat(F.lower(F.lpad(F.hex(print_["level"]), 2, "0")), F.array_join(digits, ""))
+    """A fingerprint as hexadecimal text, sixteen digits per lexicon."""
+    return F.array_join(F.transform(print_, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the lexicons with a term of either text that give both one hash; 1 if none has."""
-
-    def compare(x: Column, y: Column) -> Column:
-        same = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p == q) & (p != 0)), lambda z: z))
-        any_ = F.size(F.filter(F.zip_with(x, y, lambda p, q: (p != 0) | (q != 0)), lambda z: z))
-        return F.when(any_ == 0, F.lit(1.0)).otherwise(same / any_)
-
-    return (
-        F.when(a["level"] == b["level"], compare(a["own"], b["own"]))
-        .when(a["level"] == b["level"] + 1, compare(a["own"], b["coarser"]))
-        .when(a["level"] + 1 == b["level"], compare(a["coarser"], b["own"]))
-        .otherwise(F.lit(0.0))
-    )
+    """Likeness of two fingerprints, 0 to 1, as the module says; 1 if neither text has a term."""
+    steps = len(ZEROS)
+    same = F.zip_with(a, b, lambda p, q: (p == q) & (p != 0))
+    held = F.zip_with(a, b, lambda p, q: (p != 0) | (q != 0))
+
+    def share(step: int) -> Column:
+        def count(flags: Column) -> Column:
+            return F.size(F.filter(flags, lambda set_, i: set_ & (i > 0) & ((i - 1) % steps == step)))
+
+        return F.when(count(held) * 2 >= DRAWS, count(same) / count(held)).otherwise(F.lit(0.0))
+
+    shares = reduce(F.greatest, [share(step) for step in range(steps)])
+    return F.when(a[0] == b[0], F.lit(1.0)).otherwise(shares)
 
 
 def fingerprint_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
