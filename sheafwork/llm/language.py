@@ -7,9 +7,9 @@ in the context one byte shorter, down to a uniform choice of 256.  A text's code
 language is the sum over its bytes; the language with the shortest code wins.
 
 Because the statistics are frozen, every (context, byte) has a fixed code length.  The driver
-computes them once into a table, by the rule above and for all languages at once; scoring a text is
-then a look-up per byte.  Order-3 contexts beyond the most frequent ``MAX_CONTEXTS`` are not in the
-tree, nor are successions seen once in the sample; bytes beyond the 95 most frequent share a code.
+computes those that the sample holds once, for all languages at once; scoring a text is a look-up
+per byte, and only bytes that no language has seen in their context escape while they are scored.
+The tree keeps every context and every succession of the sample, and all 256 bytes.
 """
 
 from __future__ import annotations
@@ -24,50 +24,99 @@ from sheafwork.llm.arrays import text_chunks
 
 #: Texts per language that a model is fitted on, about; they are chosen by a hash of their key.
 SAMPLE_TEXTS = 2000
-MAX_CONTEXTS = 8192
-SYMBOLS = 96
-MIN_COUNT = 2
 #: Contexts overlap, so code lengths overstate the evidence; the score divides them by this.
 TEMPERATURE = 8.0
 
 UNKNOWN = "und"
+#: Bytes whose code lengths are held at once.
+BLOCK_BYTES = 1 << 18
+
+
+class GramTable:
+    """Places of distinct 32-bit keys, found by hash.
+
+    A slot holds one key; those that lose their slot go to a further table with another multiplier,
+    so the tables get smaller until every key has a place.  A key that is found is compared.
+    """
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys.astype(np.uint32), np.uint32(0))
+        self.tables: list[tuple[np.uint32, np.uint32, np.ndarray]] = []
+        left = np.arange(len(keys))
+        multipliers = np.random.default_rng(1)
+        while len(left):
+            bits = max(4, int(len(left) * 2).bit_length())
+            shift = np.uint32(32 - bits)
+            factor = np.uint32(int(multipliers.integers(1 << 31)) * 2 + 1)
+            slots = np.full(1 << bits, len(keys), np.int32)
+            place = (self.keys[left] * factor) >> shift
+            slots[place] = left
+            self.tables.append((factor, shift, slots))
+            left = left[slots[place] != left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for one that is not there."""
+        found = np.full(len(keys), -1, np.int32)
+        at = np.arange(len(keys))
+        for factor, shift, slots in self.tables:
+            wanted = keys[at]
+            place = slots[(wanted * factor) >> shift]
+            same = (self.keys[place] == wanted) & (place < len(self.keys) - 1)
+            found[at[same]] = place[same]
+            at = at[~same]
+            if not len(at):
+                break
+        return found
 
 
 @dataclass
 class LanguageModel:
-    languages: list[str]
-    #: Code of each of the 256 bytes.
-    codes: np.ndarray
-    #: State of three codes.
-    states: np.ndarray
-    #: Code length in bits: (state * symbols + code, language).
-    bits: np.ndarray
+    """Code lengths in bits, one column a language; bytes are the last of a key, contexts before it."""
 
-    @property
-    def symbols(self) -> int:
-        return int(self.codes.max()) + 1
+    languages: list[str]
+    #: Four bytes that some language has seen, and the code length of the last after the others.
+    fours: GramTable
+    four_bits: np.ndarray
+    #: Three bytes: the code length of the last, and the escape from all three as a context.
+    threes: GramTable
+    three_bits: np.ndarray
+    three_escape: np.ndarray
+    #: For all pairs of bytes.
+    two_bits: np.ndarray
+    two_escape: np.ndarray
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each four."""
+        place = self.fours.find(grams)
+        rows = self.four_bits[place]
+        missed = np.flatnonzero(place < 0)
+        if len(missed):
+            rows[missed] = self._escaped(grams[missed])
+        return rows
+
+    def _escaped(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes that no language has seen after the three before."""
+        context = self.threes.find(grams >> np.uint32(8))
+        rows = np.where((context >= 0)[:, None], self.three_escape[context], np.float32(0))
+        place = self.threes.find(grams & np.uint32(0xFFFFFF))
+        shorter = self.two_escape[(grams >> np.uint32(8)) & np.uint32(0xFFFF)] + self.two_bits[grams & np.uint32(0xFFFF)]
+        return rows + np.where((place >= 0)[:, None], self.three_bits[place], shorter)
 
     def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""
-        texts = len(offsets) - 1
-        total = np.zeros((texts, len(self.languages)))
+        total = np.zeros((len(offsets) - 1, len(self.languages)))
         if not len(data) or not self.languages:
             return total
-        code = self.codes[data]
-        pad = int(self.codes[10])
-        starts = offsets[:-1][np.diff(offsets) > 0]
-        context = np.zeros(len(data), np.int64)
-        for back in (3, 2, 1):
-            before = np.empty(len(data), np.int64)
-            before[:back] = pad
-            before[back:] = code[:-back]
-            for step in range(back):
-                at = starts + step
-                before[at[at < len(data)]] = pad
-            # A text shorter than the context must not see the text before it.
-            context = context * self.symbols + before
-        rows = self.bits[self.states[context].astype(np.int64) * self.symbols + code]
-        total[np.diff(offsets) > 0] = np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
+        grams = _grams(data, offsets)
+        filled = np.flatnonzero(np.diff(offsets) > 0)
+        starts = offsets[filled]
+        # A long text is taken in blocks; each adds to the texts that it holds a part of.
+        for low in range(0, len(grams), BLOCK_BYTES):
+            rows = self.bits(grams[low : low + BLOCK_BYTES])
+            first = np.searchsorted(starts, low, "right") - 1
+            last = np.searchsorted(starts, low + len(rows))
+            held = np.maximum(starts[first:last] - low, 0)
+            total[filled[first:last]] += np.add.reduceat(rows, held, axis=0, dtype=np.float64)
         return total
 
 
@@ -121,76 +170,63 @@ def bounded_sample(texts: DataFrame, key: str, label: str, bound: int = SAMPLE_T
     return texts.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(space)) < share)
 
 
-def fit_languages(
-    texts: DataFrame,
-    key: str = "doc_id",
-    sample_texts: int = SAMPLE_TEXTS,
-    max_contexts: int = MAX_CONTEXTS,
-) -> LanguageModel:
+def fit_languages(texts: DataFrame, key: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> LanguageModel:
     """Fit on a bounded sample of (key, text, lang); rows without text or language are left out.
 
     What the driver gets is the counts of that sample, so its size does not grow with the table.
     """
     known = texts.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sample = bounded_sample(known, key, "lang", sample_texts)
-    counts = count_grams(sample).where(F.col("n") >= MIN_COUNT).toArrow()
+    counts = count_grams(bounded_sample(known, key, "lang", sample_texts)).toArrow()
     lang = np.array(counts.column("lang").to_pylist(), dtype=object)
-    return build_model(
-        lang, counts.column("gram").to_numpy(), counts.column("n").to_numpy(), max_contexts
-    )
+    return build_model(lang, counts.column("gram").to_numpy(), counts.column("n").to_numpy())
 
 
-def build_model(
-    lang: np.ndarray, gram: np.ndarray, n: np.ndarray, max_contexts: int = MAX_CONTEXTS
-) -> LanguageModel:
+def build_model(lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> LanguageModel:
+    """The model of counted successions: ``n`` times the last byte of ``gram`` after the three before."""
     languages = sorted(set(lang))
-    last = gram & 0xFF
-    seen = np.bincount(last, weights=n, minlength=256) if len(gram) else np.zeros(256)
-    seen[10] += 1
-    ranked = [b for b in np.argsort(-seen, kind="stable") if seen[b] > 0][: SYMBOLS - 1]
-    codes = np.full(256, len(ranked), np.int32)
-    codes[ranked] = np.arange(len(ranked))
-    a = len(ranked) + 1
-    shared_code = max(1, 256 - len(ranked))
-    c3, c2, c1, c0 = (codes[(gram >> s) & 0xFF].astype(np.int64) for s in (24, 16, 8, 0))
-    full = ((c3 * a + c2) * a + c1) * a + c0
-    context = full // a
-    held, where = np.unique(context, return_inverse=True)
-    weight = np.bincount(where, weights=n, minlength=len(held))
-    kept = np.sort(held[np.argsort(-weight, kind="stable")[:max_contexts]])
-    suffix = np.arange(a**3, dtype=np.int64) % (a * a)
-    states = (suffix + len(kept)).astype(np.int32)
-    states[kept] = np.arange(len(kept))
-
-    bits = np.empty(((len(kept) + a * a) * a, max(1, len(languages))), np.float32)
-    uniform = np.full(a, 8.0)
-    uniform[-1] = 8.0 + np.log2(shared_code) if shared_code > 1 else 8.0
+    fours = np.unique(gram)
+    threes = np.union1d(gram >> 8, gram & 0xFFFFFF)
+    width = max(1, len(languages))
+    four_bits = np.zeros((len(fours) + 1, width), np.float32)
+    three_bits, three_escape = (np.zeros((len(threes) + 1, width), np.float32) for _ in range(2))
+    two_bits, two_escape = (np.zeros((1 << 16, width), np.float32) for _ in range(2))
     for k, name in enumerate(languages):
-        own = lang == name
-        counts = np.bincount(
-            (c2[own] * a + c1[own]) * a + c0[own], weights=n[own], minlength=a**3
-        ).reshape(a, a, a)
-        length = _code_lengths(counts.sum((0, 1))[None, :], uniform[None, :])
-        length = _code_lengths(counts.sum(0), np.repeat(length, a, 0))
-        length = _code_lengths(counts.reshape(a * a, a), np.tile(length, (a, 1)))
-        at = np.searchsorted(kept, context[own])
-        at = np.minimum(at, max(0, len(kept) - 1))
-        inside = kept[at] == context[own] if len(kept) else np.zeros(int(own.sum()), bool)
-        deep = np.bincount(
-            at[inside] * a + c0[own][inside], weights=n[own][inside], minlength=len(kept) * a
-        ).reshape(len(kept), a)
-        bits[: len(kept) * a, k] = _code_lengths(deep, length[kept % (a * a)]).ravel()
-        bits[len(kept) * a :, k] = length.ravel()
-    return LanguageModel(languages, codes, states, bits)
-
-
-def _code_lengths(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Code lengths in contexts (rows), given those in the contexts one byte shorter."""
-    total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
+        own, times = gram[lang == name], n[lang == name]
+        # Counts of (context, byte) for contexts of 0 to 3 bytes, then lengths from short to long.
+        one, _ = _code_lengths(np.arange(256), own & 0xFF, times, np.full(256, 8.0), np.zeros(1, np.int64))
+        two, after_one = _code_lengths(
+            np.arange(1 << 16), own & 0xFFFF, times, np.tile(one, 256), np.arange(256)
+        )
+        two_bits[:, k] = two
+        three, after_two = _code_lengths(threes, own & 0xFFFFFF, times, two[threes & 0xFFFF], np.arange(1 << 16))
+        three_bits[:-1, k], two_escape[:, k] = three, after_two
+        four, after_three = _code_lengths(
+            fours, own, times, three[np.searchsorted(threes, fours & 0xFFFFFF)], threes
+        )
+        four_bits[:-1, k], three_escape[:-1, k] = four, after_three
+    return LanguageModel(
+        languages, GramTable(fours), four_bits, GramTable(threes), three_bits, three_escape, two_bits, two_escape
+    )
+
+
+def _code_lengths(
+    keys: np.ndarray, seen: np.ndarray, times: np.ndarray, shorter: np.ndarray, contexts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Code length of each key's last byte after the others, and of the escape from each context.
+
+    ``seen`` are the keys that were counted, ``shorter`` the code lengths of the keys' last bytes in
+    the context one byte shorter.  Keys and contexts are sorted.  A context never seen escapes for nothing.
+    """
+    counts = np.bincount(np.searchsorted(keys, seen), weights=times, minlength=len(keys))
+    context = keys >> 8
+    place = np.searchsorted(contexts, context) if len(contexts) else context
+    known = counts > 0
+    total = np.bincount(place[known], weights=counts[known], minlength=len(contexts))
+    distinct = np.bincount(place[known], minlength=len(contexts))
     with np.errstate(divide="ignore", invalid="ignore"):
-        own = -np.log2(counts / (total + distinct))
         escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-    return np.where(counts > 0, own, np.where(total > 0, escape, 0.0) + shorter)
+        own = -np.log2(counts / (total + distinct)[place])
+    return np.where(known, own, escape[place] + shorter), escape
 
 
 def decide(
