@@ -281,22 +281,60 @@ def outline_levels(
     return rows.select("doc_id", "row.max_level", "row.outline")
 
 
-def indent_outline(text: Column, max_level: int) -> Column:
-    """Trimmed lines down to an indent level; the unit is the document's smallest indent.
+def indent_levels(widths: Column) -> Column:
+    """The level of each line of an array of indent widths, by a stack of the widths around it.
 
-    A column expression on one row: no running sum is needed here.
+    A line is one level below the last line before it with a smaller width, so widths of 0, 2, 6 and 7
+    are levels 0 to 3, and a width between two of the stack closes the larger one only.  A line with an
+    indent is at level 1 at least.  The levels are appended inside slices of ``SLICE`` lines, as by
+    ``running_sum``; the stack goes on from one slice to the next.
     """
+    none = F.array().cast("array<int>")
+
+    def pushed(state: Column, width: Column) -> Column:
+        around = F.filter(state["stack"], lambda outer: outer < width)
+        return bind(
+            around,
+            lambda around: F.struct(
+                F.array_append(around, width).alias("stack"),
+                F.array_append(state["levels"], F.size(around)).alias("levels"),
+            ),
+        )
+
+    def of_slice(state: Column, part: Column) -> Column:
+        start = F.struct(state["stack"].alias("stack"), none.alias("levels"))
+        return bind(
+            F.aggregate(part, start, pushed),
+            lambda done: F.struct(
+                done["stack"].alias("stack"), F.array_append(state["slices"], done["levels"]).alias("slices")
+            ),
+        )
+
+    def levels(widths: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(widths), F.lit(SLICE))
+        slices = F.transform(starts, lambda start: F.slice(widths, start, SLICE))
+        start = F.struct(
+            F.array(F.lit(0)).alias("stack"), F.array().cast("array<array<int>>").alias("slices")
+        )
+        found = F.aggregate(slices, start, of_slice, lambda state: F.flatten(state["slices"]))
+        return F.when(F.size(widths) > 0, found).otherwise(none)
+
+    return bind(widths, levels)
+
+
+def indent_outline(text: Column, max_level: int) -> Column:
+    """Trimmed lines down to an indent level, see ``indent_levels``; a column expression on one row."""
 
     def measured_line(line: Column) -> Column:
         trimmed = texts.trim_both(line).alias("text")
         return F.struct(trimmed, F.length(F.regexp_extract(line, r"\A[ \t]*", 0)).alias("width"))
 
     def within(lines: Column) -> Column:
-        unit = F.array_min(F.filter(F.transform(lines, lambda line: line.width), lambda n: n > 0))
-        return bind(
-            F.coalesce(unit, F.lit(1)),
-            lambda unit: F.filter(lines, lambda line: F.floor(line.width / unit) <= max_level),
+        levels = indent_levels(F.transform(lines, lambda line: line.width))
+        placed = F.zip_with(
+            lines, levels, lambda line, level: F.struct(line.text.alias("text"), level.alias("level"))
         )
+        return F.filter(placed, lambda line: line.level <= max_level)
 
     lines = F.transform(F.split(text, "\n"), measured_line)
     lines = F.filter(lines, lambda line: line.text != "")

@@ -344,11 +344,22 @@ GROUP BY event_id, max_level"""
 
 
 def _indented(docs: str) -> str:
-    """Of a script the function line and the first line of text are within level 1."""
-    return f"""SELECT path AS doc_id, array_to_string(list_transform(list_filter(
-        string_split(content, {NEWLINE}), lambda x: trim(x, {SPACE}) <> ''
-            AND len(x) - len(ltrim(x, ' ' || chr(9))) <= 4), lambda x: trim(x, {SPACE})), ' ') AS outline
-    FROM {docs}"""
+    """Lines within level 1: those without an indent, and those that no line since has a smaller indent than."""
+    return f"""SELECT path AS doc_id, string_agg(tok, ' ' ORDER BY ord) AS outline
+    FROM (
+        SELECT *, min(CASE WHEN width > 0 THEN width END) OVER (
+            PARTITION BY path, block ORDER BY ord ROWS UNBOUNDED PRECEDING) AS least
+        FROM (
+            SELECT *, sum((width = 0)::INTEGER) OVER (
+                PARTITION BY path ORDER BY ord ROWS UNBOUNDED PRECEDING) AS block
+            FROM (
+                SELECT path, ord, trim(line, {SPACE}) AS tok, len(line) - len(ltrim(line, ' ' || chr(9))) AS width
+                FROM (
+                    SELECT path, unnest(lines) AS line, generate_subscripts(lines, 1) AS ord
+                    FROM (SELECT path, string_split(content, {NEWLINE}) AS lines FROM {docs}))
+                WHERE trim(line, {SPACE}) <> '')))
+    WHERE width = 0 OR width = least
+    GROUP BY path"""
 
 
 def _fallback(docs: str) -> str:

@@ -1,8 +1,10 @@
+import random
 import re
 import time
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from sheafwork.functions import text as texts
 from sheafwork.operators import outlines as o
@@ -149,6 +151,37 @@ def test_indent(spark):
     assert outline(spark, " \n", indent, 0) == texts.NO_STRUCTURE
 
 
+def levels_of(widths):
+    """The plain rule: a stack of the indents around a line."""
+    stack, levels = [0], []
+    for width in widths:
+        while stack and stack[-1] >= width:
+            stack.pop()
+        levels.append(len(stack))
+        stack.append(width)
+    return levels
+
+
+def test_indent_levels_are_those_of_a_stack(spark):
+    rng = random.Random(7)
+    rows = [[0, 2, 6, 7], [0, 4, 2, 4, 0, 1], [3, 3, 5], [], [0] * 600, list(range(700)), list(range(700, 0, -1))]
+    rows += [[rng.randrange(9) for _ in range(n)] for n in (1, 255, 256, 257, 2000)]
+    assert levels_of(rows[0]) == [0, 1, 2, 3] and levels_of(rows[1]) == [0, 1, 1, 2, 0, 1]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, widths array<int>")
+    found = {r.id: r.levels for r in df.select("id", o.indent_levels(F.col("widths")).alias("levels")).collect()}
+    assert all(found[i] == levels_of(widths) for i, widths in enumerate(rows))
+
+    def indent(df, level):
+        return o.outline_indent(df, "id", "text", level)
+
+    code = "a\n  b\n      c\n       d\n    e\n\nf\n"
+    assert outline(spark, code, indent, 1) == "a b f"
+    assert outline(spark, code, indent, 2) == "a b c e f"
+    start = time.monotonic()
+    assert len(outline(spark, "x\n  y\n" * 100_000, indent, 0)) == 199_999
+    assert time.monotonic() - start < 20
+
+
 def test_dispatch(catalog_of):
     catalog = catalog_of(
         {
