@@ -35,7 +35,7 @@ _EMAIL = (
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: A token that may be an identifier: it has an at sign, or digits.
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 

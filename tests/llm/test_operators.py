@@ -217,6 +217,7 @@ def test_personal_data(spark, none):
     texts = ["é a@b.c@d.e x@y.z_w@q.r", "4111 1111 1111 1111 4111 1111 1111 1112", "1.2.3.4.5 999.1.1.1", None, "", "+1 (555) 123-4567", "9" * 20000]
     texts += [f"mail me: user{i} at host{i}99999 please" for i in range(6)]
     texts += [f"word{chr(97 + i)} mail me: u{i}@h.com please" for i in range(9)]
+    texts += ["10.0.0.1 0.0.0.0 000.00.0.0255 1.2.3.0256"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = pii.find_personal_data(frame)
     rows = {r.doc_id: r for r in found.select("doc_id", pii.spans_as_text(F.col("base")).alias("b"), pii.spans_as_text(F.col("spans")).alias("s")).collect()}
@@ -224,6 +225,7 @@ def test_personal_data(spark, none):
     assert rows[1].b == "" and rows[2].b == "ip:0:7" and rows[5].b == "phone:0:17"
     assert rows[3].b == rows[4].b == rows[6].b == ""
     assert all(rows[i].s.startswith("email:") and rows[i].b == "" for i in range(7, 13))
+    assert rows[len(texts) - 1].b == "ip:0:8,ip:9:16,ip:17:30"
     masked = {r.doc_id: r.text for r in pii.redact(frame).collect()}
     assert masked[5] == "[PHONE]" and masked[3] is None
     assert pii.find_personal_data(none).count() == 0
