@@ -9,13 +9,17 @@ pattern with a high share and enough seeds is trusted, and gives its kind to the
 
 A pattern that goes with several kinds is not trusted for any, so common words teach nothing.
 Base spans always stay.  Everything is built from Spark's own functions, and the text is read once.
+Places come from running sums, overlaps from binary searches and contexts from blocks of the text, so a
+text of many matches takes time in proportion to its length, but for a logarithm.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sheafwork.llm.tables import lookup, shared
+from sheafwork.functions.binding import bind
+from sheafwork.llm.tables import all_of, lookup, shared
+from sheafwork.operators.outlines import running_sum
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -26,6 +30,8 @@ SEEDS = 5
 PRIOR = 1.0
 #: Characters before and after a mention that its patterns are taken from.
 CONTEXT = 48
+#: Code points in a block of a text, more than ``CONTEXT``.
+BLOCK = 256
 
 # The expressions match what the plain ones do; they start where a run starts and give nothing back,
 # so that a long run of signs takes no more than one pass.
@@ -44,23 +50,69 @@ _SPAN = "struct<start:int,end:int,match:string>"
 
 def _found(text: Column, pattern: str) -> Column:
     """Spans of all matches: the pieces between them give their places."""
-    pairs = F.arrays_zip(
+    pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
     )
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(
-            F.coalesce(end, start).alias("at"),
-            F.when(pair["match"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"),
+    def placed(pieces: Column) -> Column:
+        sizes = F.transform(pieces, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+        spans = F.zip_with(
+            pieces,
+            running_sum(sizes),
+            lambda p, end: F.struct(
+                (end - F.length(p["match"])).alias("start"), end.alias("end"), p["match"].alias("match")
+            ),
         )
+        return F.filter(spans, lambda s: s["match"].isNotNull())
 
-    none = F.array().cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    return bind(pieces, placed)
+
+
+def _count_below(ascending: Column, bound: Column) -> Column:
+    """How many of the values of a sorted array are below ``bound``, by halving."""
+    return F.aggregate(
+        F.array(*[F.lit(1 << k) for k in range(27, -1, -1)]),
+        F.lit(0),
+        lambda found, power: F.when(F.get(ascending, found + power - 1) < bound, found + power).otherwise(found),
+    )
+
+
+def _of_kinds(spans: Column, name: str) -> Column:
+    """The starts or ends of sorted spans, an array for each kind.  Spans of one kind are disjoint, so it is sorted."""
+
+    def of(kind: int) -> Column:
+        return F.transform(F.filter(spans, lambda s: s["kind"] == kind), lambda s: s[name])
+
+    return F.array(*[of(kind) for kind in range(len(KINDS))])
+
+
+def _end_before(starts: Column, ends: Column, kind: int, bound: Column) -> Column:
+    """The end of the last span of a kind that starts below ``bound``; 0 if none does."""
+    of_kind = F.get(starts, F.lit(kind))
+    return F.coalesce(F.get(F.get(ends, F.lit(kind)), _count_below(of_kind, bound) - 1), F.lit(0))
+
+
+def _blocks(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` code points, so that places in it are found without reading what is before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _block(at: Column) -> Column:
+    return ((at - at % BLOCK) / BLOCK).cast("int")
+
+
+def _between(blocks: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to before ``end``."""
+    first, last = _block(begin), _block(end)
+    head = F.coalesce(F.get(blocks, first), F.lit(""))
+    tail = F.coalesce(F.get(blocks, last), F.lit(""))
+    across = F.concat(
+        head.substr(begin % BLOCK + 1, F.lit(BLOCK)),
+        F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        tail.substr(F.lit(1), end % BLOCK),
+    )
+    return F.when(end <= begin, "").when(first == last, head.substr(begin % BLOCK + 1, end - begin)).otherwise(across)
 
 
 def _digits(match: Column) -> Column:
@@ -113,11 +165,17 @@ def _mentions(text: Column, base: Column) -> Column:
     """Seeds, and tokens like identifiers that no seed overlaps (kind -1), with their patterns."""
     none = F.array().cast(f"array<{_SPAN}>")
     tokens = F.when(text.rlike("[0-9@]"), _found(text, _TOKEN)).otherwise(none)
-    candidates = F.filter(
-        tokens,
-        lambda t: ((F.length(_digits(t["match"])) >= 5) | F.contains(t["match"], F.lit("@")))
-        & ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+    likely = F.filter(
+        tokens, lambda t: (F.length(_digits(t["match"])) >= 5) | F.contains(t["match"], F.lit("@"))
     )
+
+    def free(starts: Column, ends: Column) -> Column:
+        return F.filter(
+            likely,
+            lambda t: all_of([_end_before(starts, ends, k, t["end"]) <= t["start"] for k in range(len(KINDS))]),
+        )
+
+    candidates = bind(_of_kinds(base, "start"), lambda starts: bind(_of_kinds(base, "end"), lambda ends: free(starts, ends)))
     loose = F.transform(
         candidates,
         lambda t: F.struct(
@@ -125,10 +183,10 @@ def _mentions(text: Column, base: Column) -> Column:
         ),
     )
 
-    def described(m: Column) -> Column:
+    def described(m: Column, blocks: Column) -> Column:
         begin = F.greatest(m["start"] - CONTEXT, F.lit(0))
-        left = F.split(F.rtrim(text.substr(begin + 1, m["start"] - begin)), r"\s+")
-        right = F.split(F.ltrim(text.substr(m["end"] + 1, F.lit(CONTEXT))), r"\s+")
+        left = F.split(F.rtrim(_between(blocks, begin, m["start"])), r"\s+")
+        right = F.split(F.ltrim(_between(blocks, m["end"], m["end"] + CONTEXT)), r"\s+")
         last, first = F.lower(F.get(left, F.size(left) - 1)), F.lower(F.get(right, F.lit(0)))
         second = F.lower(F.get(left, F.size(left) - 2))
         patterns = F.filter(
@@ -144,7 +202,9 @@ def _mentions(text: Column, base: Column) -> Column:
             F.xxhash64(F.lower(m["match"])).alias("value"), patterns.alias("patterns"),
         )
 
-    return F.transform(F.concat(base, loose), described)
+    found = F.concat(base, loose)
+    blocks = F.when(F.size(found) > 0, _blocks(text))
+    return bind(blocks, lambda blocks: F.transform(found, lambda m: described(m, blocks)))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -239,7 +299,7 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
         )
         .select(
             "doc_id", "text_hash", "base",
-            F.array_sort(F.array_union(F.col("base"), F.coalesce("extra", none))).alias("spans"),
+            F.array_sort(F.concat(F.col("base"), F.coalesce("extra", none))).alias("spans"),
         )
     )
 
@@ -264,19 +324,28 @@ def redact(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     text = F.col(f"`{text_column}`")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = s["start"] >= acc["at"]
-        between = F.concat(acc["out"], text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(ahead, between).otherwise(acc["out"]).alias("out"),
-        )
+    def masked_by(blocks: Column, starts: Column, ends: Column) -> Column:
+        def before(s: Column) -> Column:
+            """Where the spans that stand before this one, by start and kind, end at the furthest."""
+            return F.greatest(
+                *[_end_before(starts, ends, k, s["start"] + (s["kind"] > k).cast("int")) for k in range(len(KINDS))]
+            )
 
-    masked = F.aggregate(
-        F.col("_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
+        reached = F.transform(F.col("_spans"), lambda s: F.struct(s.alias("span"), before(s).alias("before")))
+        first = F.filter(reached, lambda r: r["before"] <= r["span"]["start"])
+        pieces = F.transform(
+            first,
+            lambda r: F.concat(_between(blocks, r["before"], r["span"]["start"]), F.get(names, r["span"]["kind"])),
+        )
+        rest = _between(blocks, F.array_max(F.transform(F.col("_spans"), lambda s: s["end"])), F.length(text))
+        return F.array_join(F.concat(pieces, F.array(rest)), "")
+
+    masked = bind(
+        _blocks(text),
+        lambda blocks: bind(
+            _of_kinds(F.col("_spans"), "start"),
+            lambda starts: bind(_of_kinds(F.col("_spans"), "end"), lambda ends: masked_by(blocks, starts, ends)),
+        ),
     )
     joined = docs.join(
         found.hint("shuffle_hash"),
