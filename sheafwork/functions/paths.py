@@ -26,7 +26,7 @@ def canonical_key(path: Column) -> Column:
     """One spelling per file: no ``.`` component, doubled slash or trailing slash.
 
     Only the spelling is looked at.  Where two paths name one file for another reason, give
-    ``table_catalog`` a key column of your own.
+    ``table_catalog`` a key column of your own, or use ``with_aliases``.
     """
     leading = F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
     return F.concat(leading, F.array_join(_components(path), "/"))

@@ -432,6 +432,28 @@ FROM (
     SELECT doc_id, 2, '\{' || source || ',x\}/' || doc_id, NULL
     FROM documents WHERE lang NOT IN ('en', 'fr', 'de'))"""
 
+RESOLVE_ALIASES = """
+WITH RECURSIVE links AS (
+    SELECT DISTINCT conv_id || '/' || turn AS alias,
+           CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1)
+                WHEN conv_id % 5 = 0 THEN conv_id || '/1' END AS target
+    FROM conversations),
+known AS (SELECT * FROM links WHERE target IS NOT NULL),
+walk AS (
+    SELECT alias, target AS place, 1 AS hops, [alias] AS seen FROM known
+    UNION ALL
+    SELECT walk.alias, known.target, hops + 1, list_append(seen, known.alias)
+    FROM walk JOIN known ON known.alias = walk.place
+    WHERE NOT list_contains(seen, walk.place)),
+ends AS (
+    SELECT alias, arg_max(place, hops) AS place, max(hops) AS hops, arg_max(seen, hops) AS seen
+    FROM walk GROUP BY alias)
+SELECT alias,
+       CASE WHEN NOT list_contains(seen, place) THEN place END AS target,
+       CASE WHEN NOT list_contains(seen, place) THEN hops::BIGINT END AS hops,
+       CASE WHEN list_contains(seen, place) THEN 'alias leads into a cycle' END AS error
+FROM ends"""
+
 ORACLES: dict[str, str] = {
     "file_catalog": f"""
         SELECT {_PART_FILE} AS path, {_PART_FILE} AS canonical_key, 'md' AS ext,
@@ -493,6 +515,7 @@ ORACLES: dict[str, str] = {
     "conversation_bundles": _parts(CONVERSATION_BATCH, CONTENT_BODIES),
     "outline_bundles": _parts(PAGE_OUTLINE_BATCH, OUTLINE_BODIES),
     "join_tokens": f"{_with(_nodes(PAGE_DOCS))} {_joined(2)}",
+    "resolve_aliases": RESOLVE_ALIASES,
     "keep_first": f"""{PAGE_BATCH} SELECT request_id, input_ord, path, canonical_key FROM chosen""",
     "manifest": _manifest(DOCUMENT_BATCH, CONTENT_BODIES, "path", "n_lines", "lines"),
     "outline_manifest": _manifest(

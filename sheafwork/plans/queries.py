@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sheafwork.functions import globs, paths, text as texts
-from sheafwork.operators import bundles, cascade, matching, outlines, reports, selection
+from sheafwork.operators import aliases, bundles, cascade, matching, outlines, reports, selection
 from sheafwork.operators.scale import union_all
 from sheafwork.plans import testtables as tables
 from sheafwork.plans.assembly import assemble
@@ -299,6 +299,10 @@ def outline_brackets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.outline_levels(events, "event_id", "nested", BRACKET_LEVELS)
 
 
+def resolve_aliases_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aliases.resolve_aliases(tables.turn_aliases(spark, sf_dir))
+
+
 def outline_indent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.outline_indent(tables.script_catalog(spark, sf_dir), "path", "content", 1)
 
@@ -321,6 +325,7 @@ QUERIES: dict[str, Query] = {
     "write_bundles": write_bundles_query,
     "display_path": display_path_query,
     "canonical_key": canonical_key_query,
+    "resolve_aliases": resolve_aliases_query,
     "file_extension": file_extension_query,
     "is_glob": is_glob_query,
     "glob_to_regex": glob_to_regex_query,

@@ -161,3 +161,17 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per conversation: all its turns."""
     groups = read(spark, sf_dir, "conversations").select("conv_id").distinct()
     return request_batch(groups, "conv_id", F.array(F.col("conv_id").cast("string")))
+
+
+def turn_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation stands for the one before; in every fifth, the first for the second."""
+
+    def name(turn: Column) -> Column:
+        return F.concat("conv_id", F.lit("/"), turn)
+
+    turn = F.col("turn")
+    first = F.when(F.col("conv_id") % 5 == 0, name(F.lit(1)))
+    turns = read(spark, sf_dir, "conversations")
+    return turns.select(
+        name(turn).alias("alias"), F.when(turn > 0, name(turn - 1)).otherwise(first).alias("target")
+    ).where("target is not null")
