@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from sheafwork import assemble, request_batch, write_bundles
 from sheafwork.operators import bundles, cascade
 from sheafwork.operators.scale import balanced_join, running_totals
+from sheafwork.session import intermediate_dir
 
 FILES = {
     "a/one.rs": "fn one() {\n    1\n}\n",
@@ -202,3 +205,29 @@ def test_chosen_content_is_filtered_before_the_shuffle(spark, catalog_of, no_bro
     assert [row.path for row in kept.collect()] == ["d/3.txt"]
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_blocks_are_sent_once_to_a_task(request, large, spark, tmp_path, catalog_of, requests_of):
+    """Requests with the same files share what is shuffled; parts are neither shuffled nor written again."""
+    if large:
+        request.getfixturevalue("no_broadcast")
+    files = {f"{d}/{n:03d}.txt": f"{d} {n}\n" * 20 for d in "ab" for n in range(150)}
+    made = assemble(requests_of(["a", "b"], ["b", "a"], ["a/001.txt"], ["b", "a", "b/007.txt"]), catalog_of(files))
+    sent, real = [], bundles.materialize
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bundles, "materialize", lambda df, label, **k: sent.append(real(df, label, **k)) or sent[-1])
+        parts = made.parts(2000)
+    (rows,) = sent
+    assert rows.select(F.sum(F.size("places"))).first()[0] == 901
+    assert rows.count() < 901 / 2
+    assert "hashpartitioning(request_id" not in parts._jdf.queryExecution().executedPlan().toString()
+    one = "".join(f"{p}\n```txt\n{t.rstrip()}\n```\n\n" for p, t in files.items())
+    at = one.index("b/000.txt")
+    only = "a/001.txt\n```txt\n" + files["a/001.txt"].rstrip() + "\n```\n\n"
+    assert joined(parts) == {1: one, 2: one[at:] + one[:at], 3: only, 4: one[at:] + one[:at]}
+    before = set(os.listdir(intermediate_dir(spark)))
+    write_bundles(parts, str(tmp_path / "out"))
+    assert not [n for n in set(os.listdir(intermediate_dir(spark))) - before if n.startswith("parts-")]
+    back = spark.read.schema(parts.schema).parquet(str(tmp_path / "out"))
+    assert rows_of(back, *parts.columns) == rows_of(parts)
