@@ -251,3 +251,15 @@ def test_small_scans_are_spread_and_nothing_else(spark, tmp_path):
     assert spread(grouped) is grouped
     wide = spark.range(100, numPartitions=cores)
     assert spread(wide) is wide
+
+
+def test_bracketed_texts_are_dealt_by_bytes(spark, monkeypatch):
+    """Rows that all lie in one of many partitions of a scan do not end in one task."""
+    monkeypatch.setattr(o, "BRACKET_BYTES", 1000)
+    text = F.when(F.spark_partition_id() == 0, F.lit('{"a":[1,{"b":2}]}')).alias("t")
+    rows = spark.range(0, 1600, 1, 16).select("id", text).where("t is not null")
+    made = o.outline_levels(rows, "id", "t", (1, 2))
+    assert rows.count() == 100 and made.count() == 200
+    held = made.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+    assert held[0] <= 2 * 40 and held[1] >= 4
+    assert {r.outline for r in made.where("max_level = 1").collect()} == {'{ "a" : [ ] }'}
