@@ -7,6 +7,8 @@ from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
+import numpy as np
+
 # HTML element names by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -42,6 +44,8 @@ CLOSES = {
 
 #: Elements nested deeper than this are taken as part of the one above, unless they never hold content.
 DEPTH = 150
+#: Pairs of neighbours whose match is worked out at once.
+CELLS = 1 << 22
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _QUOTE_OR_END = re.compile(r"[>\"']")
@@ -248,9 +252,6 @@ def parse(html: str) -> Node:
     return build.root
 
 
-PARTIAL, COMMON = 1, 2
-
-
 @dataclass(slots=True)
 class Slot:
     """A place in a wrapper: an element name, and a run of equal neighbours taken as one."""
@@ -258,17 +259,15 @@ class Slot:
     name: str
     children: list[Slot] = field(default_factory=list)
     number: int = -1
-    #: For template: ``COMMON`` if half of all reference pages share a text here, ``PARTIAL`` if only
-    #: half of those that have the place do, two at least; else 0.
-    candidate: int = 0
-    seen: list = field(default_factory=list)
+    shape: int = 0
+    size: int = 0
 
     def as_list(self) -> list:
-        return [self.name, self.number, self.candidate, [c.as_list() for c in self.children]]
+        return [self.name, [c.as_list() for c in self.children]]
 
     @staticmethod
     def from_list(value: list) -> Slot:
-        return Slot(value[0], [Slot.from_list(v) for v in value[3]], value[1], value[2])
+        return settled(Slot(value[0], [Slot.from_list(v) for v in value[1]]))
 
 
 @dataclass(slots=True)
@@ -278,49 +277,126 @@ class Group:
     name: str
     members: list[Node]
     children: list[Group] = field(default_factory=list)
+    number: int = -1
+    shape: int = 0
+    size: int = 0
+
+
+def settled(tree):
+    """The group or slot with a hash of its names and the number of them, from those of its children."""
+    tree.shape = hash((tree.name, *[c.shape for c in tree.children]))
+    tree.size = 1 + sum(c.size for c in tree.children)
+    return tree
+
+
+def numbered(level: list, first: int) -> int:
+    """Number groups or slots in their order, parents before children; the next free number."""
+    for tree in level:
+        tree.number = first
+        first = numbered(tree.children, first + 1)
+    return first
 
 
 def grouped(nodes: list[Node], depth: int = 0) -> list[Group]:
-    """Runs of elements of one name as groups, so that repeated items take one place."""
+    """Runs of elements of one name as groups, so that repeated items take one place.
+
+    What is inside elements that never hold content has no place.
+    """
     groups: list[Group] = []
     for node in nodes:
         if groups and groups[-1].name == node.name:
             groups[-1].members.append(node)
         else:
             groups.append(Group(node.name, [node]))
-    if depth < 40:
-        for group in groups:
-            largest = max(group.members, key=lambda n: len(n.items))
+    for group in groups:
+        open_members = [n for n in group.members if not n.never]
+        if depth < 40 and open_members:
+            largest = max(open_members, key=lambda n: len(n.items))
             group.children = grouped(largest.children(), depth + 1)
+        settled(group)
     return groups
 
 
-def tree_match(groups: list[Group], slots: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
+def tree_match(groups: list, slots: list, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two forests: size of the best order-preserving match, and its top pairs.
 
-    Only elements of one name match, and a child matches only if its parent does.
+    Only elements of one name match, and a child matches only if its parent does.  Equal trees at
+    either end are matched first: nothing else can match them better.  ``known`` are sizes by shapes.
+    """
+    known = {} if known is None else known
+
+    def weight(g, s) -> int:
+        if g.name != s.name:
+            return 0
+        if g.shape == s.shape:
+            return g.size
+        if not g.children or not s.children:
+            return 1
+        key = (g.shape, s.shape)
+        if key not in known:
+            known[key] = 1 + tree_match(g.children, s.children, known)[0]
+        return known[key]
+
+    head, tail, least = 0, 0, min(len(groups), len(slots))
+    while tail < least and groups[-1 - tail].shape == slots[-1 - tail].shape:
+        tail += 1
+    while head < least - tail and groups[head].shape == slots[head].shape:
+        head += 1
+    pairs = [(k, k) for k in range(head)]
+    ends = [(len(groups) - k, len(slots) - k) for k in range(tail, 0, -1)]
+    total = sum(g.size for g in groups[:head]) + sum(groups[i].size for i, _ in ends)
+    left, right = groups[head : len(groups) - tail], slots[head : len(slots) - tail]
+    if left and right:
+        kinds = {s.shape: s for s in right}
+        of_kind = {shape: k for k, shape in enumerate(kinds)}
+        columns = np.array([of_kind[s.shape] for s in right])
+        rows = {g.shape: g for g in left}
+        rows = {shape: np.array([weight(g, s) for s in kinds.values()])[columns] for shape, g in rows.items()}
+        size, found = _best_match([rows[g.shape] for g in left], 0, len(right))
+        total += size
+        pairs += [(head + i, head + j) for i, j in found]
+    return total, pairs + ends
+
+
+def _scores(weights: list[np.ndarray]):
+    """Sizes of the best matches of the first rows with the first columns, row after row."""
+    best = np.zeros(len(weights[0]) + 1, np.int64)
+    yield best
+    for row in weights:
+        following = np.zeros_like(best)
+        np.maximum(best[1:], best[:-1] + row, out=following[1:])
+        best = np.maximum.accumulate(following)
+        yield best
+
+
+def _best_match(weights: list[np.ndarray], first: int, end: int) -> tuple[int, list[tuple[int, int]]]:
+    """Size and (row, column) pairs of the best match of all rows with some columns.
+
+    Beyond ``CELLS`` the rows are halved where the best match crosses, so memory stays bounded.
     """
-    rows, columns = len(groups), len(slots)
-    if not rows or not columns:
+    if not weights or first == end:
         return 0, []
-    weight = [
-        [
-            1 + tree_match(g.children, s.children)[0] if g.name == s.name else 0
-            for s in slots
-        ]
-        for g in groups
-    ]
-    best = [[0] * (columns + 1) for _ in range(rows + 1)]
-    for i in range(rows):
-        for j in range(columns):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight[i][j])
-    pairs, i, j = [], rows, columns
+    weights = [row[first:end] for row in weights]
+    if len(weights) > 1 and len(weights) * (end - first) > CELLS:
+        middle = len(weights) // 2
+        for upper in _scores(weights[:middle]):
+            pass
+        for lower in _scores([row[::-1] for row in weights[: middle - 1 : -1]]):
+            pass
+        cut = int(np.argmax(upper + lower[::-1]))
+        above, pairs = _best_match(weights[:middle], 0, cut)
+        below, others = _best_match(weights[middle:], cut, end - first)
+        pairs = pairs + [(middle + i, j) for i, j in others]
+        return above + below, [(i, first + j) for i, j in pairs]
+    best = list(_scores(weights))
+    pairs, i, j = [], len(weights), end - first
     while i and j:
-        if weight[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + weight[i - 1][j - 1]:
-            pairs.append((i - 1, j - 1))
+        value = weights[i - 1][j - 1]
+        if value and best[i][j] == best[i - 1][j - 1] + value:
+            pairs.append((i - 1, first + j - 1))
             i, j = i - 1, j - 1
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return best[rows][columns], pairs[::-1]
+    return int(best[-1][-1]), pairs[::-1]
